@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serat.llm import canon, lines, neardup, overlap
+from serat.llm import canon, lines, mixing, neardup, overlap, packing, residue, tokens
+from serat.session import durable
 
 #: What TESTDATA.md fixes for problems 1 and 5: runs of three words, at least half the union shared.
 WIDTH, SIMILARITY = 3, 0.5
@@ -67,7 +68,51 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return canon.distinct_records(_records(spark, d))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_by_split_and_source, p4_found, p4_lines, p4_clean, p5_found, p5_groups, p6_found, p6_records)}
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.with_tokens(_table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    packed = packing.pack(durable(_sized(spark, d)), _table(spark, d, "pack_capacity"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    caps = _table(spark, d, "pack_capacity")
+    return packing.fill_report(packing.pack(durable(_sized(spark, d)), caps), caps)
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = _table(spark, d, "mix_targets")
+    # only documents of the targets' sources, a handful of rows, are encoded
+    docs = _table(spark, d, "documents").select("doc_id", "source", "text").join(F.broadcast(targets.select("source")), "source", "left_semi")
+    sized = tokens.with_tokens(docs.select("doc_id", "text", "source"))
+    return mixing.mix(durable(sized.select("id", "source", "n_tokens")), targets), targets
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(*_mixed(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(_table(spark, d, "documents").select("doc_id", "text")).select(F.col("id").alias("doc_id"))
+
+
+def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(_table(spark, d, "documents").select("doc_id", "text")).groupBy("kind").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        p1_found, p1_by_split_and_source, p4_found, p4_lines, p4_clean, p5_found, p5_groups, p6_found, p6_records,
+        p7_packed, p7_fill, p8_mixture, p8_shares, p9_found, p9_kinds,
+    )
+}
 
 # --- the same results in SQL -------------------------------------------------------------------------------------
 
