@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serat.llm import canon, lines, mixing, neardup, overlap, packing, residue, tokens
+from serat.llm import canon, lines, mixing, names, neardup, overlap, packing, residue, tokens
 from serat.session import durable
 
 #: What TESTDATA.md fixes for problems 1 and 5: runs of three words, at least half the union shared.
@@ -31,6 +31,18 @@ def p1_by_split_and_source(spark: SparkSession, d: str) -> DataFrame:
     return counts.agg(F.count("*").alias("records"), F.count("hit").alias("overlapping"))
 
 
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "entity").select("entity_id", "entity_type", "text", "normalized", "aliases")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_pairs(_entities(spark, d)).select(F.col("id_a").alias("entity_id_a"), F.col("id_b").alias("entity_id_b"))
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(_entities(spark, d)).withColumnRenamed("id", "entity_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.found_lines(_hoax(spark, d, "source")).select(F.col("id").alias("row_id"), "line_no")
 
@@ -109,7 +121,7 @@ def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        p1_found, p1_by_split_and_source, p4_found, p4_lines, p4_clean, p5_found, p5_groups, p6_found, p6_records,
+        p1_found, p1_by_split_and_source, p3_found, p3_entities, p4_found, p4_lines, p4_clean, p5_found, p5_groups, p6_found, p6_records,
         p7_packed, p7_fill, p8_mixture, p8_shares, p9_found, p9_kinds,
     )
 }
