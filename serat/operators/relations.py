@@ -1,0 +1,145 @@
+"""Relations between the entities of a sentence (O-JN02..05, O-KG10..12, O-EXT17, O-FLD08)."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from serat.operators import entities as E
+
+# Trigger groups; the first with a trigger between two entities names their relation.
+TRIGGERS = {
+    "SAID_BY": "mengatakan|menyatakan|mengungkapkan|menjelaskan|menegaskan|menyebutkan|mengklaim|berkata|ujar|tutur|kata|jelasnya|ungkapnya|tambahnya",
+    "ANNOUNCED_BY": "mengumumkan|meluncurkan|meresmikan|mendeklarasikan|memproklamasikan|mengabarkan|memberitakan|menyiarkan",
+    "DECIDED_BY": "memutuskan|menetapkan|menentukan|menyetujui|mengesahkan|meratifikasi|mengadopsi",
+    "CAUSES": "menyebabkan|mengakibatkan|memicu|mendorong|menimbulkan|membuat|menghasilkan",
+    "PREVENTS": "mencegah|menghalangi|menghambat|melarang|menghentikan|membatalkan|menolak",
+    "ENABLES": "memungkinkan|mengizinkan|membolehkan|membuka|memberikan kesempatan|mendukung",
+    "LEADS": "memimpin|mengepalai|mengetuai|memandu|mengarahkan|mengomandoi|menjabat sebagai",
+    "MEMBER_OF": "anggota|bagian dari|termasuk dalam|bergabung dengan|berafiliasi dengan|tergabung dalam",
+    "WORKS_AT": "bekerja di|bertugas di|menjabat di|berkarir di|dipekerjakan oleh|bergabung dengan",
+    "SUPPORTS": "mendukung|menyetujui|membantu|menolong|mengadvokasi|memperjuangkan|membela",
+    "OPPOSES": "menentang|menolak|mengkritik|memprotes|mengecam|menyerang|melawan",
+    "HAS": "memiliki|mempunyai|punya|mengandung|terdiri dari|meliputi|mencakup",
+    "RECEIVES": "menerima|mendapat|memperoleh|meraih|mengambil|diberikan",
+    "LOCATED_IN": "terletak di|berada di|berlokasi di|bertempat di|di|pada",
+}
+BY_TYPES = {
+    ("PERSON", "ORGANIZATION"): ("WORKS_AT", 0.4),
+    ("ORGANIZATION", "LOCATION"): ("LOCATED_IN", 0.5),
+    ("PERSON", "POSITION"): ("HAS", 0.5),
+    ("EVENT", "DATE"): ("DURING", 0.6),
+    ("PERSON", "LOCATION"): ("LOCATED_IN", 0.3),
+}
+QUOTE = re.compile(r'"([^"]+)",?\s*(?:kata|ujar|tutur|ungkap|jelas|sebut|tegas)\s*([^.]+)', re.I)
+EVENTS = ("EVENT", "POLICY", "POSITION")
+PLACES = ("di", "pada", "dalam")
+_TRIGGERS = [(k, re.compile(rf"\b(?:{v})\b", re.I)) for k, v in TRIGGERS.items()]
+_ANY = re.compile(rf"\b(?:{'|'.join(TRIGGERS.values())})\b", re.I)
+
+
+def gap(a: tuple, b: tuple) -> int:
+    """Characters between two spans (start, end, ...), 0 if they overlap."""
+    return max(b[0] - a[1], a[0] - b[1], 0)
+
+
+def between(text: str, a: tuple, b: tuple, shift: int = 0) -> str:
+    """O-KG12: the stripped text between two spans, the spans moved by ``shift``."""
+    lo, hi = min(a[1], b[1]) - shift, max(a[0], b[0]) - shift
+    return text[lo:hi].strip() if lo < hi else ""
+
+
+def infer(text: str, a: tuple, b: tuple, shift: int = 0) -> tuple[str, float] | None:
+    """The relation of an ordered pair by the words between (O-KG10), else by the two types (O-KG11)."""
+    words = between(text, a, b, shift)
+    if words and _ANY.search(words):
+        kind = next(k for k, p in _TRIGGERS if p.search(words))
+        return kind, max(0.3, 1 - abs(a[0] - b[0]) / 500)
+    return BY_TYPES.get((a[5], b[5]))
+
+
+def extract(text: str | None, spans: list[tuple], window: int = 50, least: float = 0.3, profile: str = "reference") -> list[tuple]:
+    """(sent_idx, subject span, predicate, object span, confidence, sentence, evidence, anchor), each relation once.
+
+    ``spans`` as from ``entities.extract``.  A sentence is taken to stand where its text first occurs.  In the
+    reference profile the text between two entities is cut from the sentence at their offsets in the document.  A
+    relation counts once by (subject, predicate, object) names, the first in order of sentence and emission.
+    """
+    if not text or len(spans) < 2:
+        return []
+    out, seen = [], set()
+
+    def emit(i: int, a: tuple, kind: str, b: tuple, sure: float, sentence: str, evidence: list[str], anchor: str | None) -> None:
+        name = (a[4], kind, b[4])
+        if sure >= least and name not in seen:
+            seen.add(name)
+            out.append((i, a, kind, b, sure, sentence, evidence, anchor))
+
+    spans = sorted(spans, key=lambda s: (s[0], -s[1]))
+    for i, sentence in enumerate(re.split(r"[.!?]+", text)):
+        sentence = sentence.strip()
+        if len(sentence) < 10:
+            continue
+        at = text.find(sentence)
+        own = [s for s in spans if s[0] >= at and s[1] <= at + len(sentence)]
+        if len(own) < 2:
+            continue
+        shift = at if profile == "intended" else 0
+        for x, a in enumerate(own):
+            for b in own[x + 1 :]:
+                if b[0] - a[1] > window:
+                    break  # starts only grow
+                if (got := infer(sentence, a, b, shift)) is not None:
+                    emit(i, a, got[0], b, got[1], sentence, [], None)
+        people = [s for s in own if s[5] == "PERSON"]
+        for m in QUOTE.finditer(sentence) if people else ():
+            speaker = next((p for p in people if p[4].lower() in m[2].lower()), None)
+            if speaker:
+                claim = (m.start(1), m.end(1), 0.8, m[1][:100], m[1][:100], "UNKNOWN", speaker[6])
+                emit(i, claim, "SAID_BY", speaker, 0.8, m[0], [m[0]], None)
+        dates, events = [s for s in own if s[5] == "DATE"], [s for s in own if s[5] in EVENTS]
+        for d in dates:
+            for e in events:
+                if gap(d, e) <= 100:
+                    emit(i, e, "DURING", d, 0.6, "", [], d[4])
+        for place in (s for s in own if s[5] == "LOCATION"):
+            for other in (s for s in own if s[5] != "LOCATION"):
+                words = between(sentence, other, place, shift)
+                if gap(place, other) <= 30 and any(p in words.lower() for p in PLACES):
+                    emit(i, other, "LOCATED_IN", place, 0.7, "", [words], None)
+    return out
+
+
+_FIELDS = [
+    ("sent_idx", pa.int32()), ("subj_text", pa.string()), ("subj_norm", pa.string()), ("subj_type", pa.string()), ("subj_confidence", pa.float64()), ("predicate", pa.string()),
+    ("obj_text", pa.string()), ("obj_norm", pa.string()), ("obj_type", pa.string()), ("obj_confidence", pa.float64()), ("confidence", pa.float64()), ("source_sentence", pa.string()),
+    ("evidence", pa.list_(pa.string())), ("temporal_anchor", pa.string()), ("language", pa.string()),
+]
+
+
+def extract_relations(docs: DataFrame, profile: str = "reference", window: int = 50, least: float = 0.3) -> DataFrame:
+    """(coll, doc, emit_idx, relation columns) for (coll, doc, text), entities extracted in the same pass; no shuffle."""
+    docs = docs.toDF("coll", "doc", "text")
+    head = docs.select("coll", "doc", F.lit(0).alias("emit_idx")).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    sql = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.list_(pa.string()): "array<string>"}
+    schema = head + ", " + ", ".join(f"{n} {sql[t]}" for n, t in _FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                rows, at, emitted = [], [], []
+                for i, t in enumerate(part.column(2).to_pylist()):
+                    got = extract(t, E.extract(t, profile), window, least, profile)
+                    rows += [(s, a[3], a[4], a[5], a[2], k, b[3], b[4], b[5], b[2], c, src, ev, anchor, a[6]) for s, a, k, b, c, src, ev, anchor in got]
+                    at += [i] * len(got)
+                    emitted += range(len(got))
+                idx = pa.array(at, pa.int64())
+                cols = list(zip(*rows)) if rows else [[]] * len(_FIELDS)
+                arrays = [pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(idx), part.column(1).take(idx), pa.array(emitted, pa.int32()), *arrays], ["coll", "doc", "emit_idx", *[n for n, _ in _FIELDS]])
+
+    return docs.mapInArrow(run, schema)

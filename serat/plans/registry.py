@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from serat.plans import training_data
+from serat.plans import news, training_data
 
-FLAGSHIP = "p2_found"
-QUERIES = {**training_data.QUERIES}
-ORACLES = {**training_data.ORACLES}
+FLAGSHIP = "topic_outliers"
+QUERIES = {**news.QUERIES, **training_data.QUERIES}
+ORACLES = {**news.ORACLES, **training_data.ORACLES}
