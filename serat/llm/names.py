@@ -16,7 +16,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,8 +113,8 @@ def within_one(a: str, b: str) -> bool:
 def trie_pairs(words: list[str], bound: int = 1) -> list[tuple[str, str]]:
     """All pairs a < b of distinct words at most ``bound`` edits (with swaps of neighbours) apart.
 
-    The trie is walked with each word's Levenshtein automaton: a state is the row of edit distances of the path so far
-    to the word's prefixes, and a branch ends where the whole row is above the bound.
+    The trie is walked with each word's Levenshtein automaton: a state is a node, a place in the word and the edits so
+    far, and a branch ends with the edit that would pass the bound.
     """
     words = sorted(set(words))
     root: dict = {}
@@ -126,23 +125,28 @@ def trie_pairs(words: list[str], bound: int = 1) -> list[tuple[str, str]]:
         node[""] = w
     out = []
     for w in words:
-        n = len(w)
-        stack = [(root, "", list(range(n + 1)), None)]
+        n, found = len(w), set()
+        stack = [(root, 0, 0)]
         while stack:
-            node, last, row, older = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if row[n] <= bound and child > w:
-                        out.append((w, child))
-                    continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    d = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (w[j - 1] != c))
-                    if older is not None and j > 1 and w[j - 1] == last and w[j - 2] == c:
-                        d = min(d, older[j - 2] + 1)
-                    new.append(d)
-                if min(new) <= bound or min(row) <= bound and older is None or min(row) <= bound:
-                    stack.append((child, c, new, row))
+            node, i, e = stack.pop()
+            while True:
+                if i == n and node.get("", "") > w:
+                    found.add(node[""])
+                if e < bound:
+                    here = w[i] if i < n else None
+                    for c, child in node.items():
+                        if c:
+                            stack.append((child, i, e + 1))
+                            if here is not None and c != here:
+                                stack.append((child, i + 1, e + 1))
+                    if here is not None:
+                        stack.append((node, i + 1, e + 1))
+                        if i + 1 < n and (swap := node.get(w[i + 1], {}).get(here)) is not None:
+                            stack.append((swap, i + 2, e + 1))
+                if i == n or (node := node.get(w[i])) is None:
+                    break
+                i += 1
+        out += [(w, f) for f in sorted(found)]
     return out
 
 
@@ -151,16 +155,30 @@ def trie_join(words: DataFrame, prefix: int, suffix: int) -> DataFrame:
 
     The shards of a word are its first ``prefix`` and its last ``suffix`` letters within its space: an edit leaves one
     of the two as it was if the word has at least prefix + suffix letters; shorter words take part with what they have.
+    A task holds the words of its shards, each of which is one trie; the words of a shard by their end are read from it.
     """
     ends = F.array(F.concat(F.lit("<"), F.substring("word", 1, prefix)), F.concat(F.lit(">"), F.expr(f"right(word, {suffix})")))
     shards = words.select("space", "word", F.explode(ends).alias("shard"))
+    # a fixed number of partitions, which isn't merged by size: a few bytes of words are much work
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        pairs = trie_pairs(group["word"].tolist())
-        return pd.DataFrame({"space": key[0], "a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, dtype=object)
-
-    found = shards.groupBy("space", "shard").applyInPandas(run, "space string, a string, b string")
-    return found.distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], list[str]] = {}
+        for batch in batches:
+            for space, word, shard in zip(*[c.to_pylist() for c in batch.columns]):
+                held.setdefault((space, shard), []).append(word)
+        spaces, left, right = [], [], []
+        for (space, shard), group in held.items():
+            if len(group) > 1:
+                back = shard[0] == ">"
+                for a, b in trie_pairs([w[::-1] for w in group] if back else group):
+                    a, b = sorted((a[::-1], b[::-1])) if back else (a, b)
+                    spaces.append(space)
+                    left.append(a)
+                    right.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (spaces, left, right)], ["space", "a", "b"])
+
+    return shards.repartition(parts, "space", "shard").mapInArrow(run, "space string, a string, b string").distinct()
 
 
 def _classes(words: DataFrame, prefix: int, suffix: int, fuzzy: int) -> DataFrame:
