@@ -72,12 +72,12 @@ def average_rouge(references: DataFrame, predictions: DataFrame) -> DataFrame:
     """
     r = references.toDF("id", "reference").withColumn("r", F.lit(True))
     both = r.join(predictions.toDF("id", "prediction").withColumn("p", F.lit(True)), "id", "full_outer")
-    # the check rides on the filter that every later step needs
-    alone = F.isnull("r") | F.isnull("p")
-    both = both.where(F.when(alone, F.raise_error(F.lit("references and predictions must have the same ids")).cast("boolean")).otherwise(True)).select("id", "reference", "prediction")
     pairs = both.where("reference <> '' and prediction <> ''")
+    orphans = both.agg(F.count_if(F.isnull("r") | F.isnull("p")).alias("orphans"))
     mean = lambda df, name: df.agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias(name))
-    return mean(rouge_n(pairs, 1), "rouge1").crossJoin(mean(rouge_n(pairs, 2), "rouge2")).crossJoin(mean(rouge_l(pairs), "rougeL"))  # one row each
+    return mean(rouge_n(pairs, 1), "rouge1").crossJoin(mean(rouge_n(pairs, 2), "rouge2")).crossJoin(mean(rouge_l(pairs), "rougeL")).crossJoin(orphans).select(  # one row each
+        F.when(F.col("orphans") > 0, F.raise_error(F.lit("references and predictions must have the same ids")).cast("double")).otherwise(F.col("rouge1")).alias("rouge1"), "rouge2", "rougeL"
+    )
 
 
 def classifier_metrics(rows: DataFrame) -> DataFrame:

@@ -20,31 +20,39 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
-def _bigrams(c: str) -> Column:
+def _letters(c: str) -> Column:
+    """Each letter of a name with the number of its occurrences so far: a multiset as a set."""
     low = F.lower(F.col(c))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(2))))
+
+    def nth(i: Column) -> Column:
+        letter, head = F.substr(low, i, F.lit(1)), F.substr(low, F.lit(1), i)
+        return F.concat(letter, (F.length(head) - F.length(F.replace(head, letter, F.lit("")))).cast("string"))
+
+    return F.transform(F.sequence(F.lit(1), F.length(low)), nth)
 
 
 def similar_names(wanted: DataFrame, names: DataFrame, least: float = 0.7) -> DataFrame:
-    """(want, name, ratio) of the pairs of distinct names whose ratio reaches ``least`` (>= 0.6).
+    """(want, name, ratio) of the pairs of distinct names whose ratio reaches ``least``.
 
-    A ratio of 0.6 and more leaves so few characters unmatched that some matched block has two (for names of three
-    characters and more), so the pairs are found by an equi-join on letter pairs, and the bound by the two lengths
-    prunes exactly before the comparison.  Names of fewer than three characters are compared by equality alone.
+    A ratio of r needs r(la + lb)/2 shared letters.  So the two names share one of their rarest letters (each numbered
+    by its occurrence), of which a name of n letters gives n - n r/(2 - r) + 1: an equi-join on these finds all pairs.
+    Then the lengths and the shared letters prune exactly, and only what is left is compared.  Empty names match nothing.
     """
     w = wanted.toDF("want").where("want <> ''").distinct()
     n = names.toDF("name").where("name <> ''").distinct()
-    wg = w.select("want", F.explode(_bigrams("want")).alias("g"))
-    ng = n.select("name", F.explode(_bigrams("name")).alias("g"))
+    wl, nl = w.select("want", F.explode(_letters("want")).alias("t")), n.select("name", F.explode(_letters("name")).alias("t"))
+    often = nl.groupBy("t").agg(F.count("*").alias("often"))
+
+    def rare(each: DataFrame, c: str) -> DataFrame:
+        ranked = each.join(often, "t", "left").groupBy(c).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("o"), "t"))).alias("ts"))
+        size = F.size("ts")
+        return ranked.select(c, F.explode(F.slice("ts", 1, (size - F.ceil(size * (least / (2 - least)) - 1e-9) + 1).cast("int"))).alias("x")).select(c, F.col("x.t").alias("t"))
+
     la, lb = F.length("want"), F.length("name")
-    pairs = wg.join(ng, "g").where(2 * F.least(la, lb) >= least * (la + lb)).groupBy("want", "name").agg(F.count("*").alias("k"))
-    # matched characters less blocks, of which there are at most one more than unmatched characters of the shorter name,
-    # is the least number of shared letter pairs; repeated pairs in a name count once, hence half of it
-    need = (least * (la + lb) / 2 - (F.least(la, lb) - least * (la + lb) / 2 + 1)) / 2
-    pairs = pairs.where(F.col("k") >= need).select("want", "name")
-    short = w.join(n, F.lower("want") == F.lower("name")).where(F.length("want") < 3).select("want", "name")
-    rated = pairs.unionByName(short).distinct().withColumn("ratio", similarity_ratio("want", "name"))
-    return rated.where(F.col("ratio") >= least)
+    pairs = rare(wl, "want").join(rare(nl, "name"), "t").where(2 * F.least(la, lb) >= least * (la + lb) - 1e-9).select("want", "name").distinct()
+    shared = F.size(F.array_intersect(_letters("want"), _letters("name")))
+    pairs = pairs.where(2 * shared >= least * (la + lb) - 1e-9).withColumn("ratio", similarity_ratio("want", "name"))
+    return pairs.where(F.col("ratio") >= least)
 
 
 def match_entities(claim_entities: DataFrame, nodes: DataFrame, least: float = 0.7) -> DataFrame:
