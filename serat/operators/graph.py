@@ -201,3 +201,45 @@ def from_json(rows: DataFrame, node_schema: str, edge_schema: str) -> tuple[Data
 
 def key_of(entity_type: Column, normalized: Column) -> Column:
     return F.concat_ws(":", entity_type, normalized)
+
+
+def document_counts(docs: DataFrame, mentions: DataFrame, relations: DataFrame, temporals: DataFrame) -> DataFrame:
+    """(coll, doc, entities, relations, temporals) for every document (O-AGG08), 0 where there are none."""
+    out = docs.select("coll", "doc")
+    for name, df in (("entities", mentions), ("relations", relations), ("temporals", temporals)):
+        out = out.join(df.groupBy("coll", "doc").agg(F.count("*").alias(name)), ["coll", "doc"], "left")
+    return out.na.fill(0)
+
+
+def grounded_facts(topics: DataFrame, matched: DataFrame, edges: DataFrame, each: int = 5, cap: int = 20) -> DataFrame:
+    """(i, source, relation_type, target): relations of the nodes that topics mean (O-TOP03).
+
+    ``topics``: (i, key) in order; ``matched``: (key, node_key) as from ``verify.match_entities``.  At most ``each`` a
+    topic; topics are taken in order until ``cap`` facts are reached, the last one whole.
+    """
+    at = topics.join(matched.where("node_key is not null").select("key", "node_key").distinct(), "key")
+    both = edges.select("source", "relation_type", "target", F.col("source").alias("node_key")).union(edges.select("source", "relation_type", "target", F.col("target").alias("node_key")))
+    w = Window.partitionBy("i").orderBy("source", "target", "relation_type")
+    facts = at.join(both, "node_key").withColumn("r", F.row_number().over(w)).where(F.col("r") <= each)
+    n = facts.groupBy("i").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a topic
+    open_ = n.select("i", before.alias("before")).where(F.col("before") < cap)
+    return facts.join(open_.select("i"), "i").select("i", "source", "relation_type", "target")
+
+
+def fact_context(facts: DataFrame) -> DataFrame:
+    """(coll, text): numbered facts (coll, i, source, relation_type, target), one a line (O-STR15); none: no row."""
+    from serat.functions.text import fact_line
+
+    line = fact_line(F.col("i"), F.col("source"), F.col("relation_type"), F.col("target"))
+    return facts.groupBy("coll").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def triples(edges: DataFrame) -> DataFrame:
+    """O-KG13."""
+    return edges.select("coll", F.col("source").alias("subject"), F.col("relation_type").alias("predicate"), F.col("target").alias("object"))
+
+
+def by_date(nodes: DataFrame) -> DataFrame:
+    """(day, key): the days on which nodes begin (O-KG09)."""
+    return nodes.where("temporal_start <> ''").select(F.substring("temporal_start", 1, 10).alias("day"), "key").distinct()

@@ -158,3 +158,22 @@ def verified_summaries(docs: DataFrame, verify, n: int = 3, mode: str = "extract
         done = part if done is None else done.unionByName(part)
         open_ = rated.where(~good).select("coll", "doc", refine(F.col("summary"), F.coalesce("bad", F.array().cast("array<string>"))).alias("summary"))
     return done.unionByName(open_.select("coll", "doc", "summary", F.lit("OPEN").alias("status"), F.lit(0.0).alias("rate"), F.lit(rounds + 1).alias("iterations")))
+
+
+def confidence(rate: Column, mean: Column) -> Column:
+    """O-AGG13: the confidence of a checked summary."""
+    return 0.6 * rate + 0.4 * mean
+
+
+def credible_summaries(docs: DataFrame, scores: DataFrame, threshold: float = 0.5, n: int = 3) -> DataFrame:
+    """(coll, summary): the first sentences of each collection's documents whose score reaches the threshold (O-FLT07, O-JN11).
+
+    ``scores``: (coll, doc, score).  A collection without such a document gets a fixed text.
+    """
+    from pyspark.sql import Window
+
+    kept = docs.join(scores.where(F.col("score") >= threshold).select("coll", "doc"), ["coll", "doc"], "left_semi")
+    first = kept.withColumn("r", F.row_number().over(Window.partitionBy("coll").orderBy("doc"))).where(F.col("r") <= n)
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc", lead(F.col("text"), 1).alias("s")))), lambda x: x["s"]), " ")
+    out = docs.select("coll").distinct().join(first.groupBy("coll").agg(parts.alias("summary")), "coll", "left")
+    return out.select("coll", F.coalesce("summary", F.lit("No documents passed credibility check.")).alias("summary"))

@@ -110,3 +110,13 @@ def top_k_join(queries: DataFrame, vectors: DataFrame, k: int = 5, blocks: int =
     order = [F.col("similarity").desc_nulls_last(), F.col("vec_id")]
     first = sims.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("r") <= k)
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "vec_id", "similarity", "rank")
+
+
+def mean_pool(tokens: DataFrame) -> DataFrame:
+    """(doc, embedding): the mean of a document's token vectors (doc, pos, embedding) (O-VEC05); padding isn't given in.
+
+    By place in the vector, aggregated before the shuffle.
+    """
+    each = tokens.select("doc", F.posexplode("embedding").alias("at", "v")).groupBy("doc", "at").agg(F.avg("v").alias("v"))
+    packed = F.array_sort(F.collect_list(F.struct("at", "v")))  # as long as one vector
+    return each.groupBy("doc").agg(F.transform(packed, lambda x: x["v"].cast("float")).alias("embedding"))

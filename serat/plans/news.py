@@ -728,3 +728,71 @@ def verified_intel(spark, d):
 def title_changes(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("title"))
     return titles.changes(e, ["c", "p"])
+
+
+# --- smaller pieces ---------------------------------------------------------------------------------------------
+@query()
+def document_counts(spark, d):
+    docs = documents(spark, d)
+    return G.document_counts(docs, E.extract_entities(docs, "intended"), relations.extract_relations(docs, "intended"), _temporals(spark, d))
+
+
+@query(
+    """WITH f AS (SELECT n_regionkey AS coll, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT coll, string_agg(concat_ws(' ', concat(i, '.'), n_name, 'located in', r_name), chr(10) ORDER BY i) AS text FROM f GROUP BY coll"""
+)
+def fact_context(spark, d):
+    from pyspark.sql import Window
+
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    i = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c))
+    return G.fact_context(n.select(F.col("n_regionkey").alias("coll"), i.alias("i"), tag("N:", "n_name").alias("source"), F.lit("LOCATED_IN").alias("relation_type"), tag("R:", "r_name").alias("target")))
+
+
+@query(
+    f"""WITH q AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1), t AS (SELECT b.vec_id, {_COS} AS s, CASE WHEN b.vec_id % 3 <> 0 THEN concat('2024-01-', lpad((b.vec_id % 28 + 1)::VARCHAR, 2, '0')) END AS date
+  FROM q a, embeddings b ORDER BY {_COS} DESC, b.vec_id LIMIT 5)
+SELECT vec_id, round(s, 6) AS similarity, date, row_number() OVER (ORDER BY coalesce(date, '0000-00-00'), s DESC, vec_id) AS rank FROM t"""
+)
+def temporal_rag(spark, d):
+    date = F.when(F.col("vec_id") % 3 != 0, F.format_string("2024-01-%02d", (F.col("vec_id") % 28 + 1).cast("int")))
+    e = table(spark, d, "embeddings").withColumn("metadata", F.create_map(F.lit("date"), date))
+    return _rounded(retrieval.temporal_rag(e, e.orderBy("vec_id").select("embedding").first()[0], 5))
+
+
+@query()
+def narratives(spark, d):
+    t = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("coll"), F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("text")).alias("content"), F.date_format("published_at", "yyyy-MM-dd").alias("date"), "source", "url")
+    return retrieval.narrative(t)
+
+
+@query()
+def credible_summaries(spark, d):
+    return summarize.credible_summaries(documents(spark, d), _assessed(spark, d).select("coll", "doc", "score"))
+
+
+@query()
+def sentence_similarity(spark, d):
+    """Sentences of one document that are alike: each document is a collection."""
+    s = documents(spark, d).select(F.col("doc").alias("coll"), F.posexplode(X.preprocess_document(F.col("text"))).alias("doc", "text"))
+    return vector.cosine_pairs(vector.tfidf(s, X.STOPWORDS_RANKER, max_df=1.0))
+
+
+@query("SELECT l_partkey AS doc, count(*) AS tokens FROM lineitem GROUP BY l_partkey")
+def pooled_vectors(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_partkey").alias("doc"), F.array(F.col("l_quantity"), F.lit(1.0)).alias("embedding"))
+    n = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("doc")).agg(F.count("*").alias("tokens"))
+    return vector.mean_pool(t).where("embedding[1] = 1").join(n, "doc").select("doc", "tokens")
+
+
+@query(f"WITH {_NODES} SELECT DISTINCT left(temporal_start, 10) AS day, key FROM nodes WHERE temporal_start <> ''")
+def graph_by_date(spark, d):
+    return G.by_date(_nodes(spark, d))
+
+
+@query()
+def grounded_facts(spark, d):
+    e = _places(spark, d).withColumn("relation_type", F.lit("LOCATED_IN"))
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("i"), F.concat(F.lit("R:"), F.col("r_name")).alias("key"))
+    return G.grounded_facts(r, r.select("key", F.col("key").alias("node_key")), e)
