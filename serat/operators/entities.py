@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serat.functions.text import ABBREVIATIONS, HONORIFICS, LANGUAGE_WORDS
+from serat.operators.temporal import lower_same_length
 
 _MONTHS_ID = "(?:Januari|Februari|Maret|April|Mei|Juni|Juli|Agustus|September|Oktober|November|Desember)"
 _MONTHS_EN = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
@@ -78,7 +79,8 @@ SKIP = {"id": ["kementerian", "partai", "bank", "pt"], "en": ["ministry", "bank"
 _NAME = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,4})"
 
 
-def _compiled(language: str, profile: str) -> tuple[list[tuple[str, re.Pattern]], re.Pattern]:
+def _compiled(language: str, profile: str) -> tuple[list[tuple[str, bool, re.Pattern]], bool, re.Pattern]:
+    """Patterns with whether they meet the text in lower case; alternatives are then found by their first letters."""
     fold = profile == "reference"
     out = []
     for kind, patterns in (PATTERNS[language] | SHARED).items():
@@ -86,11 +88,12 @@ def _compiled(language: str, profile: str) -> tuple[list[tuple[str, re.Pattern]]
             if not fold and p.startswith("[A-Z]{2,5}"):
                 p = rf"\b{p}\b"
             # amounts, dates and the like have no capitals that matter
-            out.append((kind, re.compile(p, re.I if fold or kind not in ("ORGANIZATION", "POSITION") else 0)))
+            low = fold or kind not in ("ORGANIZATION", "POSITION")
+            out.append((kind, low, re.compile(p.lower() if low else p)))
     # honorifics stand as they are, a dot in one fits any character, in the reference profile; the longest first
     words = sorted(HONORIFICS[language], key=lambda w: (-len(w), w))
     lead = "|".join(words if fold else map(re.escape, words))
-    return out, re.compile(rf"(?:(?:{lead})\s+)?{_NAME}", re.I) if fold else re.compile(rf"(?:(?i:{lead})\s+)?{_NAME}")
+    return out, fold, re.compile(rf"(?:(?:{lead})\s+)?{_NAME}".lower()) if fold else re.compile(rf"(?:(?i:{lead})\s+)?{_NAME}")
 
 
 _cache: dict[tuple[str, str], tuple] = {}
@@ -138,11 +141,17 @@ def extract(text: str | None, profile: str = "reference", merge: bool = True) ->
     language = language_of(text)
     if (language, profile) not in _cache:
         _cache[language, profile] = _compiled(language, profile)
-    patterns, person = _cache[language, profile]
-    spans = [(m.start(), m.end(), 0.8, m[0], normalize(m[0], kind, language), kind, language) for kind, p in patterns for m in p.finditer(text)]
-    for m in person.finditer(text):
-        if not any(w in m[1].lower() for w in SKIP[language]):
-            spans.append((m.start(), m.end(), 0.6, m[0], normalize(m[1], "PERSON", language), "PERSON", language))
+    patterns, folded, person = _cache[language, profile]
+    low = lower_same_length(text)
+    spans = []
+    for kind, lowered, p in patterns:
+        for m in p.finditer(low if lowered else text):
+            found = text[m.start() : m.end()]
+            spans.append((m.start(), m.end(), 0.8, found, normalize(found, kind, language), kind, language))
+    for m in person.finditer(low if folded else text):
+        name = text[m.start(1) : m.end(1)]
+        if not any(w in name.lower() for w in SKIP[language]):
+            spans.append((m.start(), m.end(), 0.6, text[m.start() : m.end()], normalize(name, "PERSON", language), "PERSON", language))
     return sorted(merge_overlaps(spans) if merge else spans, key=lambda s: (s[0], -s[1]))
 
 

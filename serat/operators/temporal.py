@@ -26,14 +26,15 @@ UNITS = {"detik": "second", "menit": "minute", "jam": "hour", "hari": "day", "mi
 MODIFIERS = "sekitar|kira-kira|kurang lebih|hampir|lebih dari|kurang dari|mendekati|awal|pertengahan|akhir|beberapa".split("|")
 QUARTERS = {"2": 4, "4": 10, "3": 7}
 
+# All patterns meet the text in lower case, without a flag for it: alternatives are then found by their first letters.
 _any = lambda words: "|".join(map(re.escape, words))
-_DATE = re.compile(rf"(\d{{1,2}})\s+({_any(MONTHS)})\s+(\d{{4}})", re.I)
-_MONTH = re.compile(rf"({_any(MONTHS)})\s+(\d{{4}})", re.I)
-_QUARTER = re.compile(r"(?:Q|kuartal)\s*([IViv1-4])\s*(\d{4})", re.I)
-_YEAR = re.compile(r"(?:tahun\s+)?(\d{4})\b", re.I)
-_RELATIVE = re.compile(_any(RELATIVE), re.I)
-_DURATION = re.compile(rf"(\d+)\s+({_any(UNITS)})", re.I)
-_MODIFIER = re.compile(rf"(?:{_any(MODIFIERS)})\s+", re.I)
+_DATE = re.compile(rf"(\d{{1,2}})\s+({_any(MONTHS)})\s+(\d{{4}})")
+_MONTH = re.compile(rf"({_any(MONTHS)})\s+(\d{{4}})")
+_QUARTER = re.compile(r"(?:q|kuartal)\s*([iv1-4])\s*(\d{4})")
+_YEAR = re.compile(r"(?:tahun\s+)?(\d{4})\b")
+_RELATIVE = re.compile(_any(RELATIVE))
+_DURATION = re.compile(rf"(\d+)\s+({_any(UNITS)})")
+_MODIFIER = re.compile(rf"(?:{_any(MODIFIERS)})\s+")
 _ISO_DATE = re.compile(r"\b(\d{4})-(\d{2})-(\d{2})\b")
 _NUMERIC = re.compile(r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b")
 
@@ -47,6 +48,12 @@ def _month_end(year: int, month: int) -> datetime:
     return datetime(year, month, calendar.monthrange(year, month)[1], 23, 59, 59)
 
 
+def lower_same_length(text: str) -> str:
+    """Lower case with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
 def resolve(phrase: str, reference: datetime) -> tuple[datetime, datetime, str]:
     """(start, end, granularity) of a relative phrase (O-EXT13); the reference's time of day is kept in the start."""
     n, unit = RELATIVE[phrase.lower()]
@@ -73,13 +80,14 @@ def extract(text: str | None, reference: datetime, profile: str = "reference") -
     """
     if not text:
         return []
-    near = [m.end() for m in _MODIFIER.finditer(text)]
+    low = lower_same_length(text)
+    near = [m.end() for m in _MODIFIER.finditer(low)]
     found: list[tuple] = []
 
     def add(m: re.Match, kind: str, grain: str, start: datetime | None, end: datetime | None, sure: float, vague: float | None = None, **more) -> None:
         about = vague is not None and any(abs(m.start() - e) < 20 for e in near)
         iso = lambda d: d.isoformat() if d else ""
-        found.append((m[0], kind, grain, iso(start), iso(end), vague if about else sure, about, more.get("anchor"), m.start(), m.end(), more.get("amount"), more.get("unit")))
+        found.append((text[m.start() : m.end()], kind, grain, iso(start), iso(end), vague if about else sure, about, more.get("anchor"), m.start(), m.end(), more.get("amount"), more.get("unit")))
 
     def taken(at: int) -> bool:
         return any(f[8] <= at < f[9] for f in found)
@@ -90,28 +98,28 @@ def extract(text: str | None, reference: datetime, profile: str = "reference") -
         except ValueError:
             pass
 
-    for m in _DATE.finditer(text):
+    for m in _DATE.finditer(low):
         day(m, int(m[3]), MONTHS[m[2].lower()], int(m[1]))
     if profile == "intended":
-        for m in _ISO_DATE.finditer(text):
+        for m in _ISO_DATE.finditer(low):
             day(m, int(m[1]), int(m[2]), int(m[3]))
-        for m in _NUMERIC.finditer(text):
+        for m in _NUMERIC.finditer(low):
             day(m, int(m[3]), int(m[2]), int(m[1]))
-    for m in _MONTH.finditer(text):
+    for m in _MONTH.finditer(low):
         y, mo = int(m[2]), MONTHS[m[1].lower()]
         if y and not taken(m.start()):
             add(m, "INTERVAL", "MONTH", datetime(y, mo, 1), _month_end(y, mo), 0.85, 0.6)
-    for m in _QUARTER.finditer(text):
+    for m in _QUARTER.finditer(low):
         y, mo = int(m[2]), QUARTERS.get(m[1], 1)
         if y:
             add(m, "INTERVAL", "QUARTER", datetime(y, mo, 1), _month_end(y, mo + 2), 0.9)
-    for m in _YEAR.finditer(text):
+    for m in _YEAR.finditer(low):
         if 1900 <= (y := int(m[1])) <= 2100 and not taken(m.start()):
             add(m, "INTERVAL", "YEAR", datetime(y, 1, 1), datetime(y, 12, 31, 23, 59, 59), 0.7, 0.5)
-    for m in _RELATIVE.finditer(text):
+    for m in _RELATIVE.finditer(low):
         start, end, grain = resolve(m[0], reference)
         add(m, "RELATIVE", grain, start, end, 0.8, anchor=reference.isoformat())
-    for m in _DURATION.finditer(text):
+    for m in _DURATION.finditer(low):
         unit = UNITS[m[2].lower()]
         add(m, "DURATION", unit.upper(), None, None, 0.85, amount=min(int(m[1]), 2**63 - 1), unit=unit)
     return sorted(found, key=lambda f: f[8])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serat.functions import text as X
+from serat.session import durable
 
 #: A word of at least two letters, digits or underscores.
 TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}"
@@ -13,11 +14,15 @@ MAX_FEATURES = 5000
 PRESETS = {"strict": 2.0, "moderate": 1.5, "loose": 3.0}
 
 
-def terms(text: Column, stopwords: list[str]) -> Column:
-    """Words without stop words, and the pairs of neighbours among them."""
-    words = X.remove_stopwords(F.regexp_extract_all(F.lower(X.text(text)), F.lit(TOKEN), F.lit(0)), stopwords)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+def tokens(text: Column, stopwords: list[str]) -> Column:
+    """Words without stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(X.text(text)), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(stopwords))
+
+
+def terms(words: Column) -> Column:
+    """The words, and the pairs of neighbours among them."""
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.concat(words, F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def tfidf(docs: DataFrame, stopwords: list[str] = X.STOPWORDS_OUTLIER, max_df: float = 0.95, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -28,7 +33,9 @@ def tfidf(docs: DataFrame, stopwords: list[str] = X.STOPWORDS_OUTLIER, max_df: f
     so a collection that holds a third of all documents is no single task's.  Documents without a kept term have no rows.
     """
     docs = docs.toDF("coll", "doc", "text")
-    tf = docs.select("coll", "doc", F.explode(terms(F.col("text"), stopwords)).alias("term")).groupBy("coll", "doc", "term").agg(F.count("*").alias("tf"))
+    # the words in a step of their own: the pairs read them several times
+    words = docs.select("coll", "doc", tokens(F.col("text"), stopwords).alias("w"))
+    tf = words.select("coll", "doc", F.explode(terms(F.col("w"))).alias("term")).groupBy("coll", "doc", "term").agg(F.count("*").alias("tf"))
     n = docs.groupBy("coll").agg(F.count("*").alias("n"))
     stats = tf.groupBy("coll", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(n, "coll").where(F.col("df") <= F.lit(max_df) * F.col("n"))
     top = Window.partitionBy("coll").orderBy(F.col("cf").desc(), "term")
@@ -58,7 +65,7 @@ def detect_outliers(docs: DataFrame, threshold: float = 2.0, least: int = 3) ->
     docs = docs.toDF("coll", "doc", "text").withColumn("valid", X.long_enough(F.col("text"), 11))
     sizes = docs.groupBy("coll").agg(F.count("*").alias("total"), F.count_if("valid").alias("n"))
     measured = docs.join(sizes.where((F.col("total") >= least) & (F.col("n") >= least)).select("coll"), "coll", "left_semi").where("valid").select("coll", "doc", "text")
-    sims = measured.select("coll", "doc").join(centroid_similarity(tfidf(measured), sizes), ["coll", "doc"], "left").na.fill(0.0, ["similarity"])
+    sims = measured.select("coll", "doc").join(centroid_similarity(durable(tfidf(measured)), sizes), ["coll", "doc"], "left").na.fill(0.0, ["similarity"])
     # statistics as a small aggregate, not as a window over a whole collection
     stats = sims.groupBy("coll").agg(F.avg("similarity").alias("mean"), F.stddev_pop("similarity").alias("dev"))
     z = (F.col("similarity") - F.col("mean")) / F.greatest("dev", F.lit(1e-6))

@@ -18,7 +18,7 @@ from serat.operators import entities as E
 from serat.operators import etl, metrics, relations, retrieval, summarize, temporal, vector
 from serat.operators import graph as G
 from serat.operators import verify as V
-from serat.session import durable
+from serat.session import durable, spread
 from serat.streaming import titles
 
 REFERENCE = datetime(2024, 1, 17)
@@ -44,7 +44,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """(coll, doc, text): a collection is a source."""
-    return table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("coll"), F.col("doc_id").alias("doc"), "text")
+    return spread(table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("coll"), F.col("doc_id").alias("doc"), "text"))
 
 
 def _p() -> Column:
