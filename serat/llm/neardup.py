@@ -40,7 +40,12 @@ _ODD = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1
 
 
 def common_shingles(docs: DataFrame, width: int, share: float = COMMON_SHARE, least: int = COMMON_LEAST) -> np.ndarray:
-    """Hashes of the shingles that make up at least ``share`` of all shingle occurrences and ``least`` of them.
+    """Hashes of the shingles that make up at least ``share`` of all shingle occurrences and ``least`` of them, sorted."""
+    return shingle_counts(docs, width, share, least)[0]
+
+
+def shingle_counts(docs: DataFrame, width: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles' hashes, sorted, and their counts.
 
     Lossy counting: each task counts COUNT_CHUNK shingles exactly and passes on those above half the share of the
     chunk; undercounts are below half the share in total, and above 0.75 of it a shingle counts as common.
@@ -71,8 +76,10 @@ def common_shingles(docs: DataFrame, width: int, share: float = COMMON_SHARE, le
     counts = durable(counts)
     total = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
     floor = max(least, 0.75 * share * total)
-    found = counts.where(F.col("h").isNotNull() & (F.col("n") >= floor)).select("h").toArrow().column(0)
-    return np.sort(found.to_numpy().view(U)) if len(found) else np.zeros(0, U)
+    found = counts.where(F.col("h").isNotNull() & (F.col("n") >= floor)).select("h", F.least("n", F.lit(2**31 - 1)).cast("int")).toArrow()
+    h, n = (found.column(i).to_numpy() for i in (0, 1)) if len(found) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    at = np.argsort(h.view(U))
+    return h.view(U)[at], n[at]
 
 
 def _minima(base: np.ndarray, first: np.ndarray, factor: np.ndarray | None) -> np.ndarray:

@@ -1,14 +1,15 @@
-"""Records of evaluation splits that stand in the training split too, by a sparse suffix array over both.
-
-The suffixes of all texts that start at a winnowed position (the smallest of WINDOW consecutive hashes of DEPTH words)
-are brought together by the hash of their first DEPTH words, which is an LCP interval of the suffix array of the
-concatenated texts: every run of DEPTH + WINDOW - 1 words that two texts share has such a suffix in both.  Within an
-interval each evaluation suffix gets two training neighbours, drawn by a hash of the interval, so that over the many
-intervals of a text all its partners come up.  Short texts also have all suffixes of SHORT words, and every record its
-canonical form as one whole span.  The spans of a pair of records are then checked exactly on the whole texts.
-
-The suffixes travel as hashes; the training side is aggregated before the shuffle, so that an interval held by a third
-of all records costs each task one row, and the evaluation side meets one row an interval.
+"""Records of evaluation splits that stand in the training split too, by the rarest word shingles of their texts.
+
+The shingles of a text, the starts of its suffixes at the width of the criterion, are put in one order for all texts,
+the rarest first, so that site lines and templates come last.  Counts are approximate, which costs time only: any order
+will do.  Two sets of that similarity always share one within the first n - s n + 1 of their n elements (prefix
+filter), so the join on these keys misses no pair, however short the runs of words are that the texts share and however
+many other texts have them.  No neighbour is drawn: every evaluation text meets every training text it shares such a
+key with, if their sizes, the places of the key and their odd sketches allow the similarity.  Every pair is then
+checked exactly on the whole texts.
+
+Texts with the same words are one representative on either side before they are joined; records with the same
+canonical form meet by its hash.
 """
 
 from __future__ import annotations
@@ -20,14 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serat.llm.neardup import check_pairs
-from serat.llm.words import chunks, mix, signed
+from serat.llm.neardup import ODD_BITS, _odd, check_pairs, shingle_counts
+from serat.llm.words import chunks, distinct, signed
 from serat.session import durable
 
-U = np.uint64
-DEPTH, WINDOW = 6, 7
-SHORT, SHORT_TEXT = 3, 24
-
 
 def winnow(g: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
     """Positions in g that are the smallest of some ``window`` consecutive values within one document."""
@@ -46,42 +43,104 @@ def winnow(g: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """(key, id) for each sampled suffix of (id, text)."""
+#: Share of all occurrences from which a shingle's count is known for the order; at most 1 / (0.75 * ORDER_SHARE) are broadcast.
+ORDER_SHARE = 5e-7
+
+
+def _needed(n, similarity: float):
+    """Shared elements that two sets of n elements in all have at least, at that similarity."""
+    return F.ceil(n * (similarity / (1 + similarity)) - 1e-9)
+
+
+CLASS = ["word_a", "word_b"]
+RECORD = ["rec_a", "rec_b"]
+
+
+def signatures(docs: DataFrame, width: int, similarity: float, counts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Of (id, text): hashes of words and record, fields, number of distinct shingles, their prefix as keys, their odd sketch."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             for i, j, w in chunks(batch.column(1).to_pylist()):
-                own = ids[i:j]
+                g, first = w.grams(width)
+                late = None
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, g), len(often) - 1)
+                    late = np.where(often[at] == g, times[at], 0)
+                g, first = distinct(g, first, late)
+                n = np.diff(first)
+                long = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+                at = np.arange(len(g)) - np.repeat(first[:-1], n)
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(long))), pa.int32()), pa.array(signed(g[at < np.repeat(long, n)])))
                 (ra, rb), fields = w.records()
-                whole = np.flatnonzero(fields > 0)
-                g, first = w.grams(DEPTH)
-                at = winnow(g, first, WINDOW)
-                s, sfirst = w.grams(SHORT)
-                short = np.repeat((w.counts <= SHORT_TEXT), np.diff(sfirst))
-                doc = lambda f: np.repeat(np.arange(w.docs), np.diff(f))
-                keys = np.concatenate((mix(ra[whole] ^ U(3)) ^ rb[whole], g[at], mix(s[short] ^ U(5))))
-                of = np.concatenate((whole, doc(first)[at], doc(sfirst)[short]))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(own[of])], ["key", "id"])
+                cols = [pa.array(signed(x)) for x in (*w.sequences(), ra, rb)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), *cols, pa.array(fields, pa.int32()), pa.array(n, pa.int32()), keys, pa.array(list(_odd(g, first)), pa.list_(pa.int64()))],
+                    ["id", *CLASS, *RECORD, "fields", "n", "keys", "odd"],
+                )
 
-    return docs.mapInArrow(run, "key long, id long")
+    columns = ", ".join(f"{c} long" for c in (*CLASS, *RECORD))
+    return docs.mapInArrow(run, f"id long, {columns}, fields int, n int, keys array<long>, odd array<long>")
+
+
+def _meet(a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of (id, n, keys) that share a key where they could be that similar.
+
+    Of a pair the larger set has the key in its prefix and the smaller in the part of it that suffices towards sets of
+    at least its size.  The sets' rest behind the first shared key must hold as many elements as the pair has to share.
+    """
+    side = lambda d, s: d.select(F.col("id").alias(s), F.col("n").alias("n" + s), F.posexplode("keys").alias("at" + s, "key"))
+    inner = lambda d, s: d.where(F.col("at" + s) <= F.col("n" + s) - _needed(F.col("n" + s) * 2, similarity))
+    a, b = side(a, "a"), side(b, "b")
+    rest = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    enough = rest >= _needed(F.col("na") + F.col("nb"), similarity)
+    down = a.join(inner(b, "b"), "key").where((F.col("na") >= F.col("nb")) & enough)
+    up = inner(a, "a").join(b, "key").where((F.col("na") < F.col("nb")) & enough)
+    return down.select("a", "b").unionByName(up.select("a", "b")).distinct()
+
+
+def _possible(pairs: DataFrame, a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
+    """Drop pairs whose odd sketches differ in more bits than sets of that similarity have elements of their own.
+
+    An element changes one bit, so no pair of that similarity is dropped.
+    """
+    both = pairs.join(a.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
+    both = both.join(b.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
+    apart = sum(F.bit_count(F.col("oa")[k].bitwiseXOR(F.col("ob")[k])) for k in range(ODD_BITS // 64))
+    own = F.col("na") + F.col("nb") - 2 * _needed(F.col("na") + F.col("nb"), similarity)
+    return both.where(apart <= own).select("a", "b")
 
 
 def cross_split_pairs(evaluation: DataFrame, training: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a: evaluation id, b: training id, similarity) for overlapping records found through shared suffixes.
+    """(a: evaluation id, b: training id, similarity) for all overlapping records, training texts as one representative.
 
     Both inputs are (id BIGINT, text STRING), ids unique over both.  Two records overlap if they are the same
     canonical record or their sets of ``width``-word shingles have at least that similarity.  Null texts and texts
-    without a letter or digit overlap with nothing.  Of several equal training partners at least one comes out.
+    without a letter or digit overlap with nothing.  Of training partners with the same words, or the same record, the
+    one of the smallest id comes out.
     """
     evaluation, training = (d.toDF("id", "text").where("text is not null") for d in (evaluation, training))
-    drawn = F.col("id").bitwiseXOR(F.col("key"))
-    intervals = suffixes(training).groupBy("key").agg(F.min(drawn).alias("lo"), F.max(drawn).alias("hi"))
-    met = suffixes(evaluation).join(intervals, "key")
-    partner = lambda c: F.col(c).bitwiseXOR(F.col("key"))
-    pairs = met.select(F.col("id").alias("a"), F.explode(F.array(partner("lo"), partner("hi"))).alias("b")).distinct()
-    return check_pairs(durable(pairs), evaluation.unionByName(training), width, similarity, "keep")
+    docs = evaluation.unionByName(training)
+    counts = shingle_counts(docs, width, ORDER_SHARE, 2)
+    left, right = (durable(signatures(d, width, similarity, counts)) for d in (evaluation, training))
+
+    def copies(rows: DataFrame) -> DataFrame:
+        classes = rows.where("n > 0").groupBy(*CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
+        return durable(rows.where("n > 0").select("id", *CLASS).join(classes, CLASS).where("id <> rep").select("id", "rep"))
+
+    again, more = copies(left), copies(right)
+    one = lambda rows, c: rows.select("id", "n", "keys").join(c.select("id"), "id", "left_anti")
+    near = _meet(one(left, again), one(right, more), similarity)
+    near = _possible(near, left, right, similarity)
+    same = right.where("fields > 0").groupBy(*RECORD).agg(F.min("id").alias("b"))
+    same = left.where("fields > 0").select(F.col("id").alias("a"), *RECORD).join(same, RECORD).select("a", "b")
+    found = durable(check_pairs(durable(near.unionByName(same).distinct()), docs, width, similarity, "keep"))
+    # what holds for the shingles of a representative holds for its copies
+    alike = found.where(F.col("similarity") >= similarity - 1e-9).withColumnRenamed("a", "rep")
+    alike = alike.join(again.withColumnRenamed("id", "a"), "rep").select("a", "b", "similarity")
+    return found.unionByName(alike).distinct()
 
 
 def overlapping_records(rows: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -156,5 +156,15 @@ def records(cp: np.ndarray, good: np.ndarray, begin: np.ndarray):
     return tuple(out), np.bincount(doc, minlength=n)
 
 
+def distinct(g: np.ndarray, first: np.ndarray, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's distinct values in order of ``late`` (a function of the value) and value, and where each document's begin."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.lexsort((g, doc) if late is None else (g, late, doc))
+    g, doc = g[at], doc[at]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+    return g[new], np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=len(first) - 1))))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

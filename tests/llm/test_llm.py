@@ -125,6 +125,35 @@ def test_overlap(spark):
     assert overlap.overlapping_records(rows.limit(0)).count() == 0
 
 
+def overlap_rows(spark, train, test):
+    rows = [(i + 1, t, "train") for i, t in enumerate(train)] + [(10_000 + i, t, "test") for i, t in enumerate(test)]
+    return spark.createDataFrame(rows, "id long, text string, split string")
+
+
+def test_overlap_of_hot_spans(spark):
+    """The spans shared with the only partner stand in many other training rows, each of which isn't similar enough."""
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    train, test = [], []
+    for _ in range(8):
+        stock = new(45)
+        test.append(" ".join(stock + new(12)))
+        train.append(" ".join(new(12) + stock))
+        train += [" ".join(new(60) + stock) for _ in range(150)]
+    rng.shuffle(train)
+    got = {r.id: r.partner for r in overlap.overlapping_records(overlap_rows(spark, train, test), 3, 0.5).collect()}
+    assert set(got) == {10_000 + i for i in range(8)}
+    both = [(shingles(train[got[10_000 + i] - 1], 3), shingles(t, 3)) for i, t in enumerate(test)]
+    assert all(len(a & b) >= 0.5 * len(a | b) for a, b in both)
+
+
+def test_overlap_of_copies(spark):
+    """A text with many copies is one representative on either side; the copies of an evaluation text all come out."""
+    text = " ".join(f"k{i}" for i in range(30))
+    got = overlap.overlapping_records(overlap_rows(spark, [text + " lagi"] * 50, [text, text.upper(), text.replace(" ", ", "), "lain sekali ini"]), 3, 0.5)
+    assert {(r.id, r.partner) for r in got.collect()} == {(10_000, 1), (10_001, 1), (10_002, 1)}
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 62, 40, np.uint64), rng.integers(0, 1 << 62, 40, np.uint64)
