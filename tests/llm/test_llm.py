@@ -154,6 +154,19 @@ def test_overlap_of_copies(spark):
     assert {(r.id, r.partner) for r in got.collect()} == {(10_000, 1), (10_001, 1), (10_002, 1)}
 
 
+def test_overlap_of_short_runs(spark):
+    """Texts of 24 words against retellings of 26 words, with no long run in common."""
+    rng = random.Random(12)
+    train, test = [], []
+    for _ in range(60):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(24)]
+        test.append(" ".join(w))
+        train.append(" ".join([*w[:8], "x" + w[8], *w[9:16], "x" + w[16], *w[17:], "y" + w[0], "z" + w[1]]))
+    assert all(len(shingles(a, 3) & shingles(b, 3)) >= 0.5 * len(shingles(a, 3) | shingles(b, 3)) for a, b in zip(train, test))
+    got = {r.id: r.partner for r in overlap.overlapping_records(overlap_rows(spark, train, test), 3, 0.5).collect()}
+    assert got == {10_000 + i: i + 1 for i in range(60)}
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 62, 40, np.uint64), rng.integers(0, 1 << 62, 40, np.uint64)
