@@ -8,8 +8,8 @@ probability below 0.004, one of 0.6 below 0.0003.  Every collision is checked ex
 
 Shingles that stand in a large share of all texts (stock phrases, site lines) get a sixteenth of the others' weight
 in the sketch, so that texts sharing only these don't collide.  They are found over all texts by lossy counting; there
-are at most ``1 / (0.75 * COMMON_SHARE)`` of them, which bounds what is broadcast.  A text of which more than a third is
-common (a large family of near-copies) also stands in a second set of tables without weights.
+are at most ``1 / (0.75 * COMMON_SHARE)`` of them, which bounds what is broadcast.  A text with any common shingle also stands in a second set of tables without weights: two texts
+that share common shingles both do, and without shared ones the weights only raise the similarity.
 """
 
 from __future__ import annotations
@@ -115,9 +115,9 @@ def sketch(w: Words, width: int, common: np.ndarray):
     at = np.minimum(np.searchsorted(common, base), len(common) - 1)
     is_common = common[at] == base
     weighted = _minima(base, first, np.where(is_common, U(COMMON_WEIGHT), U(1)))
-    often = np.add.reduceat(is_common, first[:-1], dtype=np.int64) * 3 > n
-    for d in np.flatnonzero(often):
-        plain[d] = _minima(base[first[d] : first[d + 1]], np.array([0, n[d]]), None)[0]
+    unweighted = _minima(base, first, None)
+    for d in np.flatnonzero(np.logical_or.reduceat(is_common, first[:-1])):
+        plain[d] = unweighted[d]
     return some, n, list(weighted), plain, list(_odd(base, first))
 
 

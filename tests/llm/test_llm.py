@@ -99,6 +99,22 @@ def test_near_duplicates_with_common_shingles(spark, monkeypatch):
     assert got <= want and len(want - got) <= 0.005 * len(want)
 
 
+@pytest.mark.parametrize("often, rare, own_a, own_b", [(33, 34, 33, 33), (30, 24, 6, 46)])
+def test_sketches_of_pairs_with_site_lines(often, rare, own_a, own_b):
+    """Pairs at a similarity of 0.5 that share common shingles meet in some table."""
+    rng = random.Random(13)
+    new = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    lost = 0
+    for _ in range(400):
+        site, same = new(often), new(rare)
+        w = W.words([f"{site} {same} {new(own_a)}", f"{site} {same} {new(own_b)}"])
+        common = np.sort(W.words([site]).grams(1)[0])
+        _, _, weighted, plain, _ = neardup.sketch(w, 1, common)
+        meet = lambda s: s[0] is not None and s[1] is not None and any(s[0][i] == s[1][i] and s[0][j] == s[1][j] for i, j in neardup.MASKS)
+        lost += not (meet(weighted) or meet(plain))
+    assert lost <= 0.015 * 400
+
+
 def test_near_duplicate_groups(spark):
     texts = ["a b c d e f g", "a b c d e f h", "A b c d e f g!", "q r s t", "", None]
     got = {r.id: (r.rep, r.links, r.group_id) for r in neardup.near_duplicate_groups(frame(spark, texts), 3, 0.5).collect()}
