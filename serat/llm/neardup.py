@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serat.llm.words import Words, chunks, mix, signed, words
+from serat.llm.words import Words, chunks, distinct, mix, signed, words
 from serat.operators.components import connected_components
 from serat.session import durable
 
@@ -102,8 +102,8 @@ def _odd(base: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch(w: Words, width: int, common: np.ndarray):
-    """(documents with a shingle, their numbers of shingles, sketches, sketches without weights or None, odd sketches)."""
-    base, first = w.grams(width)
+    """(documents with a shingle, their numbers of distinct shingles, sketches, sketches without weights or None, odd sketches)."""
+    base, first = distinct(*w.grams(width))
     some = np.flatnonzero(np.diff(first))
     first = np.concatenate((first[some], [first[-1]]))
     n = np.diff(first)

@@ -115,6 +115,21 @@ def test_sketches_of_pairs_with_site_lines(often, rare, own_a, own_b):
     assert lost <= 0.015 * 400
 
 
+def test_odd_sketches_count_distinct_shingles():
+    """A passage that stands twice in one of two texts doesn't set their odd sketches apart."""
+    rng = random.Random(14)
+    new = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    for _ in range(20):
+        same = new(150)
+        texts = [f"{same} {new(150)}", f"{same} {same}"]
+        w = W.words(texts)
+        _, n, _, _, odd = neardup.sketch(w, 3, np.zeros(0, np.uint64))
+        a, b = (shingles(t, 3) for t in texts)
+        assert n.tolist() == [len(a), len(b)]
+        apart = sum(bin((int(x) ^ int(y)) & (2**64 - 1)).count("1") for x, y in zip(*odd))
+        assert apart <= len(a ^ b)
+
+
 def test_near_duplicate_groups(spark):
     texts = ["a b c d e f g", "a b c d e f h", "A b c d e f g!", "q r s t", "", None]
     got = {r.id: (r.rep, r.links, r.group_id) for r in neardup.near_duplicate_groups(frame(spark, texts), 3, 0.5).collect()}
