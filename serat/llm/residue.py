@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,13 +79,6 @@ LOREM = frozenset(
 )
 #: Values that a template prints for nothing.
 EMPTY = re.compile(r"(?:(?:undefined|null|NaN|None|nil|N/A|#REF!|#N/A|#NAME\?|#VALUE!|#DIV/0!|\[object Object\])(?![^\W_])|(?:&nbsp;?)+|\((?:tanpa judul|kosong|untitled|no title|empty)\))")
-ANCHORS = (
-    "not found", "gateway", "bad request", "forbidden", "access denied", "unavailable", "server error", "too many requests", "timed out", "timeout", "unauthorized", "went wrong", "have permission", "try again", "does not exist", "no longer", "has been removed",
-    "displayed", "tidak ditemukan", "telah dihapus", "telah dipindahkan", "sudah dihapus", "sudah pindah", "galat", "error", "kesalahan", "koneksi", "ditolak", "tidak tersedia", "pengelola situs", "muat ulang", "kembali ke beranda", "kembali ke halaman", "mohon maaf", "anda tuju", "id permintaan", "silakan coba", "server sedang", "tidak valid",
-    "sedang dalam", "javascript", "java script", "scripts", "skrip", "cookie", "kuki", "browser", "peramban", "captcha", "robot", "human", "manusia", "teks contoh", "teks sementara", "paragraf contoh", "paragraf ini", "kalimat ini", "bagian ini", "paragraf sementara", "contoh judul", "contoh teks", "contoh paragraf", "contoh isi", "sample paragraph", "sample text", "sample headline",
-    "sample title", "ganti kalimat", "ganti teks", "ganti paragraf", "ganti judul", "tulis ringkasan", "tulis isi", "tulis judul", "tulis teks", "akan ditampilkan", "akan muncul", "akan tampil", "belum tersedia", " here", "placeholder", "dummy text", "pengisi", "keterangan foto", "tambahkan ", "teks pengisi", "judul sementara", "judul contoh",
-)
-_LATIN = ("lorem", "ipsum", "dolor", "amet", "mollit", "irure", "aliqu", "laborum", "nostru", "tempor ", "nulla", "offici")
 
 
 #: What may stand before a notice on its line: a dash, or capitalised words of a menu.
@@ -133,15 +127,18 @@ def _notices(text: str) -> bool:
     return STATUS_LINE.search(text) is not None
 
 
+@lru_cache(1 << 16)
+def _is_latin(w: str) -> bool:
+    return any(w.startswith(p) or len(w) > 3 and p.startswith(w) for p in LOREM)
+
+
 def _latin(words: list[str]) -> int:
-    return sum(any(w.startswith(p) or len(w) > 3 and p.startswith(w) for p in LOREM) for w in words)
+    return sum(map(_is_latin, words))
 
 
 def _filler(low: str) -> bool:
     """Runs of mock Latin: a sentence mostly of it, or what follows the words lorem ipsum."""
     for sentence in re.split(r"[.!?\n]", low):
-        if sum(p in sentence for p in _LATIN) < 2:
-            continue
         words = re.findall(r"[^\W\d_]+", sentence)
         if len(words) >= 4 and _latin(words) >= 0.6 * len(words):
             return True
@@ -174,12 +171,11 @@ def residue_kind(text: str | None) -> str | None:
         return None
     if any(c in text for c in ("{", "<", "[", "#", "__", "%")) and _placeholders(text):
         return "placeholder"
-    low = text.lower()
-    if sum(p in low for p in _LATIN) >= 2 and _filler(low):
+    if _filler(text.lower()):
         return "filler"
-    if any(c in text for c in ("undefined", "null", "NaN", "None", ": nil", "N/A", "#REF", "#N/A", "#NAME", "#VALUE", "#DIV", "&nbsp", "[object", "(tanpa", "(kosong", "(untitled", "(no title", "(empty")) and EMPTY.search(text) and _empty_values(text):
+    if EMPTY.search(text) and _empty_values(text):
         return "empty value"
-    if any(a in low for a in ANCHORS) and _notices(text):
+    if _notices(text):
         return "notice"
     return None
 

@@ -319,6 +319,23 @@ def test_residue(text, kind):
     assert residue.residue_kind(text) == kind
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("Halaman yang Anda cari tidak ada.", "notice"),
+        ("Server tidak merespons.", "notice"),
+        ("Server sibuk.", "notice"),
+        ("Checking if the site connection is secure", "notice"),
+        ("The server is temporarily overloaded.", "notice"),
+        ("Vestibulum integer mauris vivamus phasellus curabitur", "filler"),
+        ("Excepteur sint occaecat cupidatat non proident", "filler"),
+        ("Sumber nil\nTanggal nil", "empty value"),
+    ],
+)
+def test_residue_without_anchors(text, kind):
+    assert residue.residue_kind(text) == kind
+
+
 def test_residue_long(spark):
     df = frame(spark, ["kata biasa " * 50_000, "{" * 5000, None, "x {{nama}}"])
     assert {r.id for r in residue.find_residue(df).collect()} == {4}
