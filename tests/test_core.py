@@ -319,3 +319,12 @@ def test_title_stream(spark, tmp_path):
     q.awaitTermination(180)
     q.stop()
     assert sorted((r.key, str(r.ts), r.title) for r in spark.sql("select * from titles").collect()) == want
+
+
+def test_narratives_hold_all_documents(spark, tmp_path):
+    from serat.plans import registry
+
+    rows = [(i, "s", f"isi berita nomor {i}" if i < 4 else None, __import__("datetime").datetime(2024, 1, 1), f"u{i}") for i in range(1, 5)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, published_at timestamp, url string").write.parquet(f"{tmp_path}/documents.parquet")
+    said = str(registry.QUERIES["narratives"](spark, str(tmp_path)).collect())
+    assert all(f"isi berita nomor {i}" in said for i in (1, 2, 3))
