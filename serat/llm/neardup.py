@@ -3,13 +3,15 @@
 A text's sketch has COORDINATES minhash values in blocks of BLOCK.  A table's bit mask keeps two coordinates of one
 block and clears the rest, and there is a table for each pair within a block.  Any pair of sketches that agrees in more
 than COORDINATES / BLOCK coordinates agrees, by the pigeonhole principle, twice within some block and so collides in
-some table: no pair within that Hamming radius can be missed.  A pair of similarity 0.5 is outside it with
-probability below 0.004, one of 0.6 below 0.0003.  Every collision is checked exactly on the whole texts.
+some table: no pair within that Hamming radius can be missed.  Every collision is checked exactly on the whole texts.
 
 Shingles that stand in a large share of all texts (stock phrases, site lines) get a sixteenth of the others' weight
 in the sketch, so that texts sharing only these don't collide.  They are found over all texts by lossy counting; there
-are at most ``1 / (0.75 * COMMON_SHARE)`` of them, which bounds what is broadcast.  A text with any common shingle also stands in a second set of tables without weights: two texts
-that share common shingles both do, and without shared ones the weights only raise the similarity.
+are at most ``1 / (0.75 * COMMON_SHARE)`` of them, which bounds what is broadcast.  A text of which more than PLAIN_FROM
+is common also stands in a second set of tables without weights.  Let a pair of similarity 0.5 have the part c of what
+it shares in common shingles.  Above c = 2 * PLAIN_FROM both texts are in the second tables, as what they share is at
+least half of either; they collide with probability 1 - 0.5**16.  Up to it their weighted similarity is 0.347 at least
+(c = 0.5, all else rare), and they collide with probability 1 - (1 - 3 s**2 + 2 s**3)**16 > 0.994.
 """
 
 from __future__ import annotations
@@ -22,17 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from serat.llm.exchange import Postings, semi, send
 from serat.llm.words import Words, chunks, distinct, mix, signed, words
 from serat.operators.components import connected_components
 from serat.session import durable
 
 U = np.uint64
-COORDINATES, BLOCK = 24, 3
+COORDINATES, BLOCK = 48, 3
 #: The covering masks: pairs of coordinates within one block.
 MASKS = [p for b in range(0, COORDINATES, BLOCK) for p in itertools.combinations(range(b, b + BLOCK), 2)]
 COMMON_SHARE = 1e-5
 COMMON_LEAST = 64
 COMMON_WEIGHT = 16
+#: Share of common shingles above which a text also stands in the tables without weights.
+PLAIN_FROM = 0.25
 #: Shingles counted exactly at a time by the lossy count: 32 MB in a worker.
 COUNT_CHUNK = 4_000_000
 ODD_BITS = 512
@@ -115,9 +120,12 @@ def sketch(w: Words, width: int, common: np.ndarray):
     at = np.minimum(np.searchsorted(common, base), len(common) - 1)
     is_common = common[at] == base
     weighted = _minima(base, first, np.where(is_common, U(COMMON_WEIGHT), U(1)))
-    unweighted = _minima(base, first, None)
-    for d in np.flatnonzero(np.logical_or.reduceat(is_common, first[:-1])):
-        plain[d] = unweighted[d]
+    much = np.flatnonzero(np.add.reduceat(is_common, first[:-1], dtype=np.int64) > PLAIN_FROM * n)
+    if len(much):
+        of = np.repeat(np.isin(np.arange(len(n)), much), n)
+        unweighted = _minima(base[of], np.concatenate(([0], np.cumsum(n[much]))), None)
+        for k, d in enumerate(much):
+            plain[d] = unweighted[k]
     return some, n, list(weighted), plain, list(_odd(base, first))
 
 
@@ -144,12 +152,31 @@ def sketches(docs: DataFrame, width: int, common: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, f"id long, {columns}, n int, weighted array<int>, plain array<int>, odd array<long>")
 
 
-def _table_keys(rows: DataFrame) -> DataFrame:
-    """(id, key): the masked sketch in each table, as one hash with the table's number."""
-    key = lambda c, tag: [F.xxhash64(F.lit(t + tag), F.col(c)[i], F.col(c)[j]) for t, (i, j) in enumerate(MASKS)]
-    keys = F.array(*key("weighted", 0))
-    both = F.concat(keys, F.array(*key("plain", len(MASKS))))
-    return rows.select("id", F.explode(F.when(F.col("plain").isNull(), keys).otherwise(both)).alias("key"))
+def _collisions(rows: DataFrame) -> DataFrame:
+    """(bucket, id, n): the members of each bucket of any table that has several, from (id, n, weighted, plain)."""
+
+    def keys(column: pa.Array, tag: int) -> np.ndarray:
+        m = column.drop_null().flatten().to_numpy().view(np.uint32).reshape(-1, COORDINATES).astype(U)
+        two = [(m[:, i] << U(32) | m[:, j]) + U(t + tag) * U(0x9E3779B97F4A7C15) for t, (i, j) in enumerate(MASKS)]
+        return mix(np.stack(two, 1) * U(0xD6E8FEB86659FD93)).ravel()
+
+    def make(batch: pa.RecordBatch) -> Iterator[Postings]:
+        ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
+        some = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+        for at, key in ((slice(None), keys(batch.column(2), 0)), (some, keys(batch.column(3), len(MASKS)))):
+            if len(key):
+                yield Postings(ids[at], n[at], np.full(len(ids[at]), len(MASKS)), key, None)
+
+    def receive(key, ids, n, _) -> Iterator[pa.RecordBatch]:
+        at = np.argsort(key, kind="stable")
+        key = key[at]
+        same = np.concatenate(([False], key[1:] == key[:-1], [False]))
+        several = np.flatnonzero(same[:-1] | same[1:])
+        for i in range(0, len(several), 1_000_000):
+            x = several[i : i + 1_000_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(ids[at[x]]), pa.array(n[at[x]].astype(np.int32))], ["bucket", "id", "n"])
+
+    return send(rows.select("id", "n", "weighted", "plain"), make, receive, "bucket long, id long, n int")
 
 
 def _likely(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -169,7 +196,9 @@ def _likely(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def check_pairs(pairs: DataFrame, docs: DataFrame, width: int, similarity: float, same: str) -> DataFrame:
-    """The pairs (a, b) of which the exact similarity of the shingle sets is at least ``similarity``.
+    """(a, b, similarity, coverage): the pairs (a, b) of which the exact similarity of the shingle sets is at least ``similarity``.
+
+    ``coverage`` is the share of a's words that lie in runs of at least ``width`` words which b has too.
 
     ``same``: what happens to two texts with one canonical record: "drop" drops the pair, "keep" keeps it whatever
     its similarity.
@@ -184,20 +213,40 @@ def check_pairs(pairs: DataFrame, docs: DataFrame, width: int, similarity: float
                 one = (ra[0] == rb[0]) & (ra[1] == rb[1]) & (na > 0)
                 keep = np.zeros(part.num_rows, bool)
                 shared, union = np.zeros((2, part.num_rows), np.int64)
+                covered = np.zeros(part.num_rows)
                 for k in range(part.num_rows):
                     x, y = np.unique(ga[fa[k] : fa[k + 1]]), np.unique(gb[fb[k] : fb[k + 1]])
                     shared[k] = len(np.intersect1d(x, y, assume_unique=True))
                     union[k] = len(x) + len(y) - shared[k]
+                    inside = np.convolve(np.isin(ga[fa[k] : fa[k + 1]], y), np.ones(width)) > 0  # words of a in spans of both
+                    covered[k] = inside.mean() if len(x) else 0.0
                 near = (union > 0) & (shared >= similarity * union - 1e-9)
                 keep = near & ~one if same == "drop" else near | one
                 at = pa.array(np.flatnonzero(keep))
                 sim = pa.array(shared[keep] / np.maximum(union[keep], 1), pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column("a").take(at), part.column("b").take(at), sim], ["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([part.column("a").take(at), part.column("b").take(at), sim, pa.array(covered[keep])], ["a", "b", "similarity", "coverage"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.toDF("id", "text").join(wanted, "id", "left_semi")
+    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = semi(docs.toDF("id", "text"), wanted, "id")
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double, coverage double")
+
+
+def _prepared(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(docs, rows: sketches of all, copies: id, rep, members: of buckets with several representatives)."""
+    docs = docs.toDF("id", "text").where("text is not null")
+    rows = durable(sketches(docs, width, common_shingles(docs, width)))
+    classes = rows.groupBy(*CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    copies = durable(rows.select("id", *CLASS).join(classes, CLASS).where("id <> rep").select("id", "rep"))
+    members = durable(_collisions(rows.join(copies.select("id"), "id", "left_anti")))
+    return docs, rows, copies, members
+
+
+def _meet(a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of two sides (bucket, id, n, ...) of one bucket whose sizes allow the similarity."""
+    a, b = a.withColumnsRenamed({"id": "a", "n": "na"}), b.withColumnsRenamed({"id": "b", "n": "nb"})
+    sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
+    return a.join(b, "bucket").where(sizes)
 
 
 def near_duplicate_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -208,14 +257,54 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, similarity: float =
     group of copies, however large, costs one comparison.  Null texts and texts of fewer than ``width`` words have no
     shingles and are in no pair.  Pairs with one canonical record are left out: they are the same record.
     """
-    docs = docs.toDF("id", "text").where("text is not null")
-    rows = durable(sketches(docs, width, common_shingles(docs, width)))
-    classes = rows.groupBy(*CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    copies = durable(rows.select("id", *CLASS).join(classes, CLASS).where("id <> rep").select("id", "rep"))
-    tables = _table_keys(rows.select("id", "weighted", "plain").join(copies, "id", "left_anti"))
-    pairs = tables.toDF("a", "key").join(tables.toDF("b", "key"), "key").where("a < b").select("a", "b").distinct()
+    docs, rows, copies, members = _prepared(docs, width)
+    pairs = _meet(members, members, similarity).where("a < b").select("a", "b").distinct()
     likely = durable(_likely(rows, pairs, similarity))
-    return rows, copies, durable(check_pairs(likely, docs, width, similarity, "drop"))
+    return rows, copies, durable(check_pairs(likely, docs, width, similarity, "drop").drop("coverage"))
+
+
+#: Rounds in which a bucket's members are linked to one of them, before what is left is paired in full.
+STARS = 4
+
+
+def near_duplicate_families(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, rep, group_id): one row for each document with a shingle, ``group_id`` that of its connected component.
+
+    The components of ``near_duplicate_groups`` without its pairs: in each of STARS rounds every bucket links one member
+    to those of other components than its own, so that a family of any size costs a pair a member; what has not come
+    together by then is paired across components, in full.  No link between components is lost.
+    """
+    docs, rows, copies, members = _prepared(docs, width)
+    edges, tried = None, None
+    label = None
+    for turn in range(STARS + 1):
+        if label is None:
+            labelled = members.withColumn("label", F.col("id"))
+        else:
+            labelled = members.join(label.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+        labelled = durable(labelled.join(open_, "bucket", "left_semi"))
+        one = labelled
+        if turn < STARS:
+            pick = F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(turn)))
+            one = labelled.groupBy("bucket").agg(pick.alias("m")).select("bucket", "m.*")
+        pairs = _meet(one.withColumnRenamed("label", "la"), labelled.withColumnRenamed("label", "lb"), similarity).where("la <> lb")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = durable(pairs)
+        if pairs.isEmpty():
+            if turn < STARS:
+                continue
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        hit = durable(check_pairs(durable(_likely(rows, pairs, similarity)), docs, width, similarity, "drop").select("a", "b"))
+        edges = hit if label is None else edges.unionByName(hit)
+        label = durable(connected_components(edges))
+    member = rows.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    if label is None:
+        return member.withColumn("group_id", F.col("rep"))
+    return member.join(label.toDF("rep", "group_id"), "rep", "left").select("id", "rep", F.coalesce("group_id", "rep").alias("group_id"))
 
 
 def expand(pairs: DataFrame, copies: DataFrame) -> DataFrame:

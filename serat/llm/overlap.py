@@ -1,12 +1,17 @@
-"""Records of evaluation splits that stand in the training split too, by the rarest word shingles of their texts.
+"""Records of evaluation splits that stand in the training split too, by a sparse suffix array over the texts' words.
 
-The shingles of a text, the starts of its suffixes at the width of the criterion, are put in one order for all texts,
-the rarest first, so that site lines and templates come last.  Counts are approximate, which costs time only: any order
-will do.  Two sets of that similarity always share one within the first n - s n + 1 of their n elements (prefix
-filter), so the join on these keys misses no pair, however short the runs of words are that the texts share and however
-many other texts have them.  No neighbour is drawn: every evaluation text meets every training text it shares such a
-key with, if their sizes, the places of the key and their odd sketches allow the similarity.  Every pair is then
-checked exactly on the whole texts.
+The suffixes of a text are sorted by their words: first by the shingle they begin with, whose hash is also the
+partition they go to, then by the words that follow.  Of each text only those suffixes are taken that begin with one
+of its n - s n + REPEATS rarest distinct shingles, in one order for all texts (prefix filter): two texts of similarity
+s share at least REPEATS of them, wherever the edits are, so that nothing is lost by leaving out the rest.  Neighbours
+of the sorted array with a common prefix of at least a shingle form an interval; one with suffixes of both splits
+reveals spans that both have.  The spans of a pair are merged into its coverage, the number of chosen suffixes the two
+share, and a pair below REPEATS is no overlap.  The rest is narrowed by sketches and checked exactly.
+
+An interval of more than BLOCK cross-split pairs (stock phrases, a family of retellings of any size) isn't multiplied
+out: each evaluation suffix meets its nearest training suffixes on both sides, with which it has the longest common
+prefix.  That settles nearly all records of a family in linear time; for records it doesn't settle, and only these,
+the interval is joined in full, so that no partner is lost.
 
 Texts with the same words are one representative on either side before they are joined; records with the same
 canonical form meet by its hash.
@@ -21,30 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from serat.llm.exchange import Postings, send
 from serat.llm.neardup import ODD_BITS, _odd, check_pairs, shingle_counts
-from serat.llm.words import chunks, distinct, signed
+from serat.llm.words import Words, chunks, distinct, signed
 from serat.session import durable
 
-
-def winnow(g: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
-    """Positions in g that are the smallest of some ``window`` consecutive values within one document."""
-    n = len(g)
-    if not n:
-        return np.zeros(0, np.int64)
-    keep = np.zeros(n, bool)
-    counts = np.diff(first)
-    if n >= window:
-        views = np.lib.stride_tricks.sliding_window_view(g, window)
-        at = np.arange(len(views)) + views.argmin(axis=1)
-        inside = np.repeat(first[1:], counts)[: len(views)] - np.arange(len(views)) >= window
-        keep[at[inside]] = True
-    for d in np.flatnonzero((counts > 0) & (counts < window)):
-        keep[first[d] + g[first[d] : first[d + 1]].argmin()] = True
-    return np.flatnonzero(keep)
-
-
+U = np.uint64
 #: Share of all occurrences from which a shingle's count is known for the order; at most 1 / (0.75 * ORDER_SHARE) are broadcast.
 ORDER_SHARE = 5e-7
+#: Chosen suffixes that an overlapping pair shares at least, if it shares that many shingles.
+REPEATS = 4
+#: Cross-split pairs of one interval that are listed at once.
+BLOCK = 4096
+#: Postings of a shingle known to be frequent that are sorted in one task.
+SHARD = 2_000_000
+#: Words after the shingle by which suffixes are sorted, at four bits each.
+FURTHER = 3
+#: Bit of a suffix that marks its interval as divided into shards.
+DIVIDED = 0x8000
 
 
 def _needed(n, similarity: float):
@@ -56,101 +55,218 @@ CLASS = ["word_a", "word_b"]
 RECORD = ["rec_a", "rec_b"]
 
 
-def signatures(docs: DataFrame, width: int, similarity: float, counts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Of (id, text): hashes of words and record, fields, number of distinct shingles, their prefix as keys, their odd sketch."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """Of (id, text, side): hashes of words and record, fields, number of distinct shingles, their odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = shared.value
         for batch in batches:
             for i, j, w in chunks(batch.column(1).to_pylist()):
-                g, first = w.grams(width)
-                late = None
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, g), len(often) - 1)
-                    late = np.where(often[at] == g, times[at], 0)
-                g, first = distinct(g, first, late)
-                n = np.diff(first)
-                long = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-                at = np.arange(len(g)) - np.repeat(first[:-1], n)
-                keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(long))), pa.int32()), pa.array(signed(g[at < np.repeat(long, n)])))
+                g, first = distinct(*w.grams(width))
                 (ra, rb), fields = w.records()
                 cols = [pa.array(signed(x)) for x in (*w.sequences(), ra, rb)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), *cols, pa.array(fields, pa.int32()), pa.array(n, pa.int32()), keys, pa.array(list(_odd(g, first)), pa.list_(pa.int64()))],
-                    ["id", *CLASS, *RECORD, "fields", "n", "keys", "odd"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *cols, pa.array(fields, pa.int32()), pa.array(np.diff(first), pa.int32()), pa.array(list(_odd(g, first)), pa.list_(pa.int64()))],
+                    ["id", "side", *CLASS, *RECORD, "fields", "n", "odd"],
                 )
 
     columns = ", ".join(f"{c} long" for c in (*CLASS, *RECORD))
-    return docs.mapInArrow(run, f"id long, {columns}, fields int, n int, keys array<long>, odd array<long>")
+    return docs.mapInArrow(run, f"id long, side int, {columns}, fields int, n int, odd array<long>")
+
+
+def chosen_suffixes(w: Words, width: int, similarity: float, often: np.ndarray, times: np.ndarray):
+    """(shingle, the words after it, count of the shingle or 0, suffixes of each document, distinct shingles of each document)."""
+    g, first = w.grams(width)
+    per = np.diff(first)
+    doc = np.repeat(np.arange(w.docs), per)
+    count = np.zeros(len(g), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, g), len(often) - 1)
+        count = np.where(often[at] == g, times[at], 0)
+    # the order: octave of the count, then the hash
+    rank = (np.log2(count + 1).astype(np.uint64) << U(58)) | (g >> U(6))
+    at = np.lexsort((rank, doc))
+    new = np.ones(len(at), bool)
+    new[1:] = (g[at[1:]] != g[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])
+    at = at[new]
+    n = np.bincount(doc[at], minlength=w.docs)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    take = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + REPEATS
+    at = at[place < np.repeat(take, n)]
+    of = doc[at]
+    word = w.first[of] + at - first[of] + width
+    rest = np.zeros(len(at), np.uint16)
+    for j in range(FURTHER):
+        here = word + j
+        nibble = np.where(here < w.first[of + 1], np.maximum(w.hashes[np.minimum(here, len(w.hashes) - 1)] >> U(60), U(1)), U(0)) if len(at) else rest
+        rest = (rest << np.uint16(4)) | nibble.astype(np.uint16)
+    return g[at], rest, count[at], np.bincount(of, minlength=w.docs), n
+
+
+def _intervals(similarity: float):
+    """What a task does with its suffixes: sorts them and lists the pairs of each interval with both splits."""
+
+    def pairs(ea, tb, want) -> pa.RecordBatch:
+        none = pa.nulls(len(ea), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(ea), pa.array(tb), pa.array(want, pa.int32()), none], ["a", "b", "want", "key"])
+
+    def run(key, ids, info, rest) -> Iterator[pa.RecordBatch]:
+        at = np.lexsort((rest, key))
+        key, ids, info = key[at], ids[at], info[at]
+        side, n = (info & 1).astype(np.int64), (info >> 1).astype(np.int64)
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        n_train = np.add.reduceat(side, start)
+        n_eval = size - n_train
+        least = lambda e, t: np.minimum(np.ceil((n[e] + n[t]) * (similarity / (1 + similarity)) - 1e-9), REPEATS).astype(np.int32)
+        alike = lambda e, t: np.minimum(n[e], n[t]) >= similarity * np.maximum(n[e], n[t]) - 1e-9
+        product = n_eval * n_train
+        of = np.repeat(np.arange(len(start)), size)
+        # intervals of bounded size: all cross-split pairs
+        divided = rest[at[start]] >= DIVIDED
+        some = (product > 0) & (product <= BLOCK) & ~divided
+        train = np.flatnonzero((side == 1) & some[of])
+        head = np.cumsum(np.where(some, n_train, 0)) - np.where(some, n_train, 0)
+        ev = np.flatnonzero((side == 0) & some[of])
+        each = n_train[of[ev]]
+        ends = np.cumsum(each)
+        lo = 0
+        while lo < len(ev):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000)))
+            k = each[lo:hi]
+            e = np.repeat(ev[lo:hi], k)
+            t = train[np.repeat(head[of[ev[lo:hi]]], k) + np.arange(len(e)) - np.repeat(np.cumsum(k) - k, k)]
+            ok = alike(e, t)
+            yield pairs(ids[e[ok]], ids[t[ok]], least(e[ok], t[ok]))
+            lo = hi
+        # larger ones: the nearest training suffix on both sides, and the suffixes themselves for the full join
+        many = (product > 0) & ~some
+        if many.any():
+            ev = np.flatnonzero((side == 0) & many[of])
+            train = np.flatnonzero((side == 1) & many[of])
+            after = np.searchsorted(train, ev)
+            for t in (after - 1, after):
+                ok = (t >= 0) & (t < len(train))
+                e, t = ev[ok], train[t[ok]]
+                ok = (of[e] == of[t]) & alike(e, t)
+                yield pairs(ids[e[ok]], ids[t[ok]], np.zeros(ok.sum(), np.int32))
+            all_ = np.flatnonzero((many & ~divided)[of])
+            for i in range(0, len(all_), 1_000_000):
+                x = all_[i : i + 1_000_000]
+                none = pa.nulls(len(x), pa.int64())
+                a = pa.array(ids[x], mask=side[x] == 1)
+                b = pa.array(ids[x], mask=side[x] == 0)
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(n[x], pa.int32()), pa.array(key[x])], ["a", "b", "want", "key"])
+
+    return run
+
+
+def suffix_pairs(docs: DataFrame, width: int, similarity: float, counts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The sorted suffixes' cross-split pairs of (id, text, side): rows (a, b, want, null), one for each chosen suffix they share.
+
+    ``want`` is how many a pair has to share, 0 for neighbours in an interval that isn't listed in full.  Of such an
+    interval there is also a row for each suffix: (a or b, shingles of its text, interval).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
+    def make(batch: pa.RecordBatch) -> Iterator[Postings]:
+        ids, side = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        for i, j, w in chunks(batch.column(1).to_pylist()):
+            key, rest, count, per, n = chosen_suffixes(w, width, similarity, *shared.value)
+            shards = count // SHARD + 1
+            if (shards > 1).any():
+                # a frequent shingle's suffixes are sorted in shards, none of which has the whole interval
+                doc = np.repeat(ids[i:j], per).view(U)
+                key = key + ((doc * U(0x9E3779B97F4A7C15) >> U(20)) % shards.astype(U)) * U(0xD6E8FEB86659FD93)
+                rest = rest | np.where(shards > 1, DIVIDED, 0).astype(np.uint16)
+            yield Postings(ids[i:j], (n << 1 | side[i:j]).astype(np.uint32), per, key, rest)
 
-def _meet(a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of (id, n, keys) that share a key where they could be that similar.
+    return send(docs, make, _intervals(similarity), "a long, b long, want int, key long")
 
-    Of a pair the larger set has the key in its prefix and the smaller in the part of it that suffices towards sets of
-    at least its size.  The sets' rest behind the first shared key must hold as many elements as the pair has to share.
-    """
-    side = lambda d, s: d.select(F.col("id").alias(s), F.col("n").alias("n" + s), F.posexplode("keys").alias("at" + s, "key"))
-    inner = lambda d, s: d.where(F.col("at" + s) <= F.col("n" + s) - _needed(F.col("n" + s) * 2, similarity))
-    a, b = side(a, "a"), side(b, "b")
-    rest = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
-    enough = rest >= _needed(F.col("na") + F.col("nb"), similarity)
-    down = a.join(inner(b, "b"), "key").where((F.col("na") >= F.col("nb")) & enough)
-    up = inner(a, "a").join(b, "key").where((F.col("na") < F.col("nb")) & enough)
-    return down.select("a", "b").unionByName(up.select("a", "b")).distinct()
+
+def divided_suffixes(docs: DataFrame, width: int, similarity: float, counts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The chosen suffixes of shingles so frequent that their intervals are divided, as rows like those of ``suffix_pairs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, side = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for i, j, w in chunks(batch.column(1).to_pylist()):
+                key, _, count, per, n = chosen_suffixes(w, width, similarity, *shared.value)
+                doc = np.repeat(np.arange(j - i), per)[count >= SHARD]
+                of, train = ids[i:j][doc], side[i:j][doc] == 1
+                # all bits of the hash; those of the other intervals are at most 40 and their task
+                cols = [pa.array(of, mask=train), pa.array(of, mask=~train), pa.array(n[doc], pa.int32()), pa.array(signed(key[count >= SHARD] | U(1 << 63)))]
+                yield pa.RecordBatch.from_arrays(cols, ["a", "b", "want", "key"])
+
+    return docs.mapInArrow(run, "a long, b long, want int, key long")
 
 
-def _possible(pairs: DataFrame, a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
+def _possible(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """Drop pairs whose odd sketches differ in more bits than sets of that similarity have elements of their own.
 
     An element changes one bit, so no pair of that similarity is dropped.
     """
-    both = pairs.join(a.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
-    both = both.join(b.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
+    both = pairs.join(rows.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
+    both = both.join(rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
     apart = sum(F.bit_count(F.col("oa")[k].bitwiseXOR(F.col("ob")[k])) for k in range(ODD_BITS // 64))
     own = F.col("na") + F.col("nb") - 2 * _needed(F.col("na") + F.col("nb"), similarity)
     return both.where(apart <= own).select("a", "b")
 
 
 def cross_split_pairs(evaluation: DataFrame, training: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a: evaluation id, b: training id, similarity) for all overlapping records, training texts as one representative.
+    """(a: evaluation id, b: training id, similarity, coverage) of overlapping records, training texts as one representative.
 
     Both inputs are (id BIGINT, text STRING), ids unique over both.  Two records overlap if they are the same
-    canonical record or their sets of ``width``-word shingles have at least that similarity.  Null texts and texts
-    without a letter or digit overlap with nothing.  Of training partners with the same words, or the same record, the
-    one of the smallest id comes out.
+    canonical record or their sets of ``width``-word shingles have at least that similarity.  Each overlapping
+    evaluation record has at least one row; of the training records it overlaps with, those behind an interval larger
+    than BLOCK may be left out once one is found.  ``coverage`` is the share of the evaluation record's words that lie
+    in spans of ``width`` words or more which the training record has too.  Null texts and texts without a letter or
+    digit overlap with nothing.  Of training partners with the same words, or the same record, the one of the smallest
+    id comes out.
     """
-    evaluation, training = (d.toDF("id", "text").where("text is not null") for d in (evaluation, training))
-    docs = evaluation.unionByName(training)
+    sides = [d.toDF("id", "text").where("text is not null").withColumn("side", F.lit(k)) for k, d in enumerate((evaluation, training))]
+    docs = sides[0].unionByName(sides[1])
     counts = shingle_counts(docs, width, ORDER_SHARE, 2)
-    left, right = (durable(signatures(d, width, similarity, counts)) for d in (evaluation, training))
-
-    def copies(rows: DataFrame) -> DataFrame:
-        classes = rows.where("n > 0").groupBy(*CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
-        return durable(rows.where("n > 0").select("id", *CLASS).join(classes, CLASS).where("id <> rep").select("id", "rep"))
-
-    again, more = copies(left), copies(right)
-    one = lambda rows, c: rows.select("id", "n", "keys").join(c.select("id"), "id", "left_anti")
-    near = _meet(one(left, again), one(right, more), similarity)
-    near = _possible(near, left, right, similarity)
-    same = right.where("fields > 0").groupBy(*RECORD).agg(F.min("id").alias("b"))
-    same = left.where("fields > 0").select(F.col("id").alias("a"), *RECORD).join(same, RECORD).select("a", "b")
-    found = durable(check_pairs(durable(near.unionByName(same).distinct()), docs, width, similarity, "keep"))
+    rows = durable(signatures(docs, width))
+    known = rows.where("n > 0")
+    classes = known.groupBy("side", *CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    copies = durable(known.select("id", "side", *CLASS).join(classes, ["side", *CLASS]).where("id <> rep").select("id", "rep"))
+    firsts = docs.join(copies.select("id"), "id", "left_anti").select("id", "text", "side")
+    listed = durable(suffix_pairs(firsts, width, similarity, counts))
+    pairs = listed.where("key is null").groupBy("a", "b").agg(F.count("*").alias("covered"), F.min("want").alias("want"))
+    near = durable(_possible(pairs.where("covered >= want").select("a", "b"), rows, similarity))
+    same = rows.where("fields > 0 and side = 1").groupBy(*RECORD).agg(F.min("id").alias("b"))
+    same = rows.where("fields > 0 and side = 0").select(F.col("id").alias("a"), *RECORD).join(same, RECORD).select("a", "b")
+    texts = docs.select("id", "text")
+    found = durable(check_pairs(durable(near.unionByName(same).distinct()), texts, width, similarity, "keep"))
+    large = listed.where("key is not null")
+    if (counts[1] >= SHARD).any():
+        large = large.unionByName(divided_suffixes(firsts, width, similarity, counts))
+    if not large.isEmpty():
+        # the exact way for what the neighbours in large intervals didn't settle
+        open_ = large.where("a is not null").select("a", "key", F.col("want").alias("na")).join(found.select("a").distinct(), "a", "left_anti")
+        more = open_.join(large.where("b is not null").select("b", "key", F.col("want").alias("nb")), "key")
+        alike = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
+        more = more.where(alike).select("a", "b", F.least(_needed(F.col("na") + F.col("nb"), similarity), F.lit(REPEATS)).cast("int").alias("want"))
+        fewer = listed.where("key is null and want > 0").select("a", "b", "want").join(found.select("a").distinct(), "a", "left_anti")
+        more = more.unionByName(fewer).groupBy("a", "b").agg(F.count("*").alias("covered"), F.max("want").alias("want")).where("covered >= want")
+        more = durable(_possible(more.select("a", "b").join(near, ["a", "b"], "left_anti"), rows, similarity))
+        found = found.unionByName(durable(check_pairs(more, texts, width, similarity, "keep")))
     # what holds for the shingles of a representative holds for its copies
     alike = found.where(F.col("similarity") >= similarity - 1e-9).withColumnRenamed("a", "rep")
-    alike = alike.join(again.withColumnRenamed("id", "a"), "rep").select("a", "b", "similarity")
+    alike = alike.join(copies.withColumnRenamed("id", "a"), "rep").select("a", "b", "similarity", "coverage")
     return found.unionByName(alike).distinct()
 
 
 def overlapping_records(rows: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, partner, similarity): each validation or test record of (id, text, split) that also stands in train.
+    """(id, partner, similarity, coverage): each validation or test record of (id, text, split) that also stands in train.
 
-    ``partner`` is the training record most like it, the smallest id among equals.
+    ``partner`` is, of the training records found, the one most like it, the smallest id among equals.
     """
     rows = rows.toDF("id", "text", "split")
     found = cross_split_pairs(
         rows.where("split in ('validation', 'test')").select("id", "text"), rows.where("split = 'train'").select("id", "text"), width, similarity
     )
-    best = F.max(F.struct(F.col("similarity"), (-F.col("b")).alias("b"))).alias("best")
-    return found.groupBy("a").agg(best).select(F.col("a").alias("id"), (-F.col("best.b")).alias("partner"), F.col("best.similarity").alias("similarity"))
+    best = F.max(F.struct("similarity", (-F.col("b")).alias("b"), "coverage")).alias("best")
+    best = found.groupBy("a").agg(best)
+    return best.select(F.col("a").alias("id"), (-F.col("best.b")).alias("partner"), F.col("best.similarity").alias("similarity"), F.col("best.coverage").alias("coverage"))

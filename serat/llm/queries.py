@@ -63,7 +63,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_groups(_hoax(spark, d), WIDTH, SIMILARITY).withColumnRenamed("id", "row_id")
+    return neardup.near_duplicate_families(_hoax(spark, d), WIDTH, SIMILARITY).withColumnRenamed("id", "row_id")
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:

@@ -137,6 +137,30 @@ def test_near_duplicate_groups(spark):
     assert neardup.near_duplicate_groups(frame(spark, texts[:0]), 3, 0.5).count() == 0
 
 
+@pytest.mark.parametrize("stars", [0, 1, 4])
+def test_near_duplicate_families(spark, monkeypatch, stars):
+    """The components of all pairs, for a family that holds a third of all rows too."""
+    monkeypatch.setattr(neardup, "STARS", stars)
+    texts = corpus()
+    parent = list(range(len(texts) + 1))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    words_of = {}
+    for i, t in enumerate(texts):
+        words_of.setdefault((tuple(WORD.findall((t or "").lower())), canonical(t)), i + 1)
+    for a, b in near(texts, 3, 0.5):
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.id: (r.rep, r.group_id) for r in neardup.near_duplicate_families(frame(spark, texts), 3, 0.5).collect()}
+    assert set(got) == {i + 1 for i, t in enumerate(texts) if shingles(t, 3)}
+    wrong = sum(g != find(r) or r != words_of[(tuple(WORD.findall((texts[i - 1] or "").lower())), canonical(texts[i - 1]))] for i, (r, g) in got.items())
+    assert wrong <= 0.01 * len(texts)
+    assert neardup.near_duplicate_families(frame(spark, texts[:0]), 3, 0.5).count() == 0
+
+
 def test_overlap(spark):
     texts = corpus()
     rng = random.Random(4)
@@ -178,6 +202,25 @@ def test_overlap_of_hot_spans(spark):
     assert all(len(a & b) >= 0.5 * len(a | b) for a, b in both)
 
 
+@pytest.mark.parametrize("block, shard", [(1, 10**9), (40, 10**9), (4096, 3)])
+def test_overlap_of_large_intervals(spark, monkeypatch, block, shard):
+    """Intervals that aren't listed in full, and intervals divided into shards, lose no record."""
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(overlap, "SHARD", shard)
+    texts = corpus(120, 5)
+    split = ["test" if i % 4 == 0 else "train" for i in range(len(texts))]
+    rows = spark.createDataFrame([(i + 1, t, s) for i, (t, s) in enumerate(zip(texts, split))], "id long, text string, split string")
+    pairs, keys = near(texts, 3, 0.5), [canonical(t) for t in texts]
+    meets = lambda i, j: keys[i] and keys[i] == keys[j] or (min(i, j) + 1, max(i, j) + 1) in pairs
+    test, train = ([i for i, s in enumerate(split) if s == x] for x in ("test", "train"))
+    got = {r.id: r for r in overlap.overlapping_records(rows, 3, 0.5).collect()}
+    assert set(got) == {i + 1 for i in test if any(meets(i, j) for j in train)}
+    for r in got.values():
+        a, b = WORD.findall(texts[r.id - 1].lower()), shingles(texts[r.partner - 1], 3)
+        inside = {p + k for p in range(len(a) - 2) if tuple(a[p : p + 3]) in b for k in range(3)}
+        assert r.coverage == pytest.approx(len(inside) / len(a) if len(a) > 2 else 0)
+
+
 def test_overlap_of_copies(spark):
     """A text with many copies is one representative on either side; the copies of an evaluation text all come out."""
     text = " ".join(f"k{i}" for i in range(30))
@@ -198,14 +241,6 @@ def test_overlap_of_short_runs(spark):
     assert got == {10_000 + i: i + 1 for i in range(60)}
 
 
-def test_winnowing_guarantee():
-    rng = np.random.default_rng(1)
-    a, b = rng.integers(0, 1 << 62, 40, np.uint64), rng.integers(0, 1 << 62, 40, np.uint64)
-    b[20:27] = a[5:12]
-    pos = [set(overlap.winnow(x, np.array([0, 40]), 7).tolist()) for x in (a, b)]
-    assert any(p + 15 in pos[1] for p in pos[0] if 5 <= p < 12)
-
-
 def test_copies(spark):
     texts = corpus() + ["a |b", "B|A", "b|a|", "a|b|b"]
     rows = frame(spark, texts).select(F.lit("t").alias("tbl"), "id", "text")
