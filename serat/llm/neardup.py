@@ -1,17 +1,18 @@
 """Near-duplicate texts: pairs whose sets of word shingles are similar, by covering locality-sensitive hashing.
 
-A text's sketch has COORDINATES minhash values in blocks of BLOCK.  A table's bit mask keeps two coordinates of one
-block and clears the rest, and there is a table for each pair within a block.  Any pair of sketches that agrees in more
-than COORDINATES / BLOCK coordinates agrees, by the pigeonhole principle, twice within some block and so collides in
-some table: no pair within that Hamming radius can be missed.  Every collision is checked exactly on the whole texts.
+A text's sketch has COORDINATES minhash values in blocks of BLOCK.  A table's bit mask keeps KEEP coordinates of one
+block and clears the rest, and there is a table for each such choice within a block.  Any pair of sketches that agrees
+in more than COORDINATES * (KEEP - 1) / BLOCK coordinates agrees, by the pigeonhole principle, KEEP times within some
+block and so collides in some table: no pair within that Hamming radius can be missed.  Every collision is checked
+exactly on the whole texts.
 
 Shingles that stand in a large share of all texts (stock phrases, site lines) get a sixteenth of the others' weight
 in the sketch, so that texts sharing only these don't collide.  They are found over all texts by lossy counting; there
 are at most ``1 / (0.75 * COMMON_SHARE)`` of them, which bounds what is broadcast.  A text of which more than PLAIN_FROM
-is common also stands in a second set of tables without weights.  Let a pair of similarity 0.5 have the part c of what
-it shares in common shingles.  Above c = 2 * PLAIN_FROM both texts are in the second tables, as what they share is at
-least half of either; they collide with probability 1 - 0.5**16.  Up to it their weighted similarity is 0.347 at least
-(c = 0.5, all else rare), and they collide with probability 1 - (1 - 3 s**2 + 2 s**3)**16 > 0.994.
+is common also stands in tables without weights.  Let a pair of similarity 0.5 have the part c of what it shares in
+common shingles.  Above c = 2 * PLAIN_FROM both texts are in these tables, as what they share is at least half of
+either, and they miss each other with probability (11/16)**16 = 0.0025.  Up to it their weighted similarity is 0.347 at
+least (c = 0.5 and all else rare: probability 0.015 of a miss) and 0.5 without common shingles (0.00001).
 """
 
 from __future__ import annotations
@@ -30,18 +31,21 @@ from serat.operators.components import connected_components
 from serat.session import durable
 
 U = np.uint64
-COORDINATES, BLOCK = 48, 3
-#: The covering masks: pairs of coordinates within one block.
-MASKS = [p for b in range(0, COORDINATES, BLOCK) for p in itertools.combinations(range(b, b + BLOCK), 2)]
+COORDINATES, BLOCK, KEEP = 128, 4, 3
+#: The covering masks: KEEP coordinates of one block.
+MASKS = [p for b in range(0, COORDINATES, BLOCK) for p in itertools.combinations(range(b, b + BLOCK), KEEP)]
+#: Those of the tables without weights.
+PLAIN_MASKS = MASKS[: len(MASKS) // 2]
 COMMON_SHARE = 1e-5
 COMMON_LEAST = 64
-COMMON_WEIGHT = 16
+#: Common shingles weigh 2 ** -COMMON_BITS.
+COMMON_BITS = 4
 #: Share of common shingles above which a text also stands in the tables without weights.
 PLAIN_FROM = 0.25
 #: Shingles counted exactly at a time by the lossy count: 32 MB in a worker.
 COUNT_CHUNK = 4_000_000
 ODD_BITS = 512
-_ODD = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
+_ODD = (mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0xA24BAED4963EE407)) >> U(32)).astype(np.uint32) | np.uint32(1)
 
 
 def common_shingles(docs: DataFrame, width: int, share: float = COMMON_SHARE, least: int = COMMON_LEAST) -> np.ndarray:
@@ -87,15 +91,16 @@ def shingle_counts(docs: DataFrame, width: int, share: float, least: int) -> tup
     return h.view(U)[at], n[at]
 
 
-def _minima(base: np.ndarray, first: np.ndarray, factor: np.ndarray | None) -> np.ndarray:
-    """COORDINATES minhash values for each document (each has at least one shingle), as 32 bits."""
-    out = np.empty((len(first) - 1, COORDINATES), U)
+def _minima(base: np.ndarray, first: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """COORDINATES minhash values for each document (each has at least one shingle); a shift of b bits is a weight of 2**b."""
+    low = (base >> U(32)).astype(np.uint32)
+    out = np.empty((COORDINATES, len(first) - 1), np.uint32)
+    v = np.empty_like(low)
     for k in range(COORDINATES):
-        v = (base * _ODD[k]) >> U(24)
-        if factor is not None:
-            v = v * factor
-        out[:, k] = np.minimum.reduceat(v, first[:-1])
-    return (mix(out) >> U(32)).astype(np.uint32).view(np.int32)
+        np.multiply(low, _ODD[k], out=v)
+        np.right_shift(v, shift, out=v)
+        np.minimum.reduceat(v, first[:-1], out=out[k])
+    return out.T
 
 
 def _odd(base: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -107,65 +112,72 @@ def _odd(base: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch(w: Words, width: int, common: np.ndarray):
-    """(documents with a shingle, their numbers of distinct shingles, sketches, sketches without weights or None, odd sketches)."""
+    """(documents with a shingle, their numbers of distinct shingles, sketches, which have one without weights, these)."""
     base, first = distinct(*w.grams(width))
     some = np.flatnonzero(np.diff(first))
     first = np.concatenate((first[some], [first[-1]]))
     n = np.diff(first)
     if not len(some):
-        return some, n, [], [], []
-    plain = [None] * len(some)
-    if not len(common):
-        return some, n, list(_minima(base, first, None)), plain, list(_odd(base, first))
-    at = np.minimum(np.searchsorted(common, base), len(common) - 1)
-    is_common = common[at] == base
-    weighted = _minima(base, first, np.where(is_common, U(COMMON_WEIGHT), U(1)))
+        return some, n, np.zeros((0, COORDINATES), np.uint32), some, np.zeros((0, COORDINATES), np.uint32)
+    is_common = np.zeros(len(base), bool)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, base), len(common) - 1)
+        is_common = common[at] == base
+    # the weights are relative: rare shingles' values are the smaller ones
+    weighted = _minima(base, first, np.where(is_common, 0, COMMON_BITS).astype(np.uint32))
     much = np.flatnonzero(np.add.reduceat(is_common, first[:-1], dtype=np.int64) > PLAIN_FROM * n)
-    if len(much):
-        of = np.repeat(np.isin(np.arange(len(n)), much), n)
-        unweighted = _minima(base[of], np.concatenate(([0], np.cumsum(n[much]))), None)
-        for k, d in enumerate(much):
-            plain[d] = unweighted[k]
-    return some, n, list(weighted), plain, list(_odd(base, first))
+    of = np.repeat(np.isin(np.arange(len(n)), much), n)
+    plain = _minima(base[of], np.concatenate(([0], np.cumsum(n[much]))), np.uint32(0)) if len(much) else weighted[:0]
+    return some, n, weighted, much, plain
 
 
 CLASS = ["word_a", "word_b", "rec_a", "rec_b"]
 
 
-def sketches(docs: DataFrame, width: int, common: np.ndarray) -> DataFrame:
-    """One row for each document with a shingle: its class (same words, same canonical record) and its sketches."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(id, the columns after the second, hashes of words and canonical record, fields, n, odd) of (id BIGINT, text STRING, ...).
+
+    ``n`` is the number of distinct shingles, ``odd`` their odd sketch, ``fields`` the number of the record's fields.
+    """
+    more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", *CLASS, "n", "weighted", "plain", "odd"]
         for batch in batches:
             for i, j, w in chunks(batch.column(1).to_pylist()):
-                some, n, weighted, plain, odd = sketch(w, width, shared.value)
-                if not len(some):
-                    continue
-                (ra, rb), _ = w.records()
-                cols = [pa.array(signed(x[some])) for x in (*w.sequences(), ra, rb)]
-                cols += [pa.array(n, pa.int32()), pa.array(weighted, pa.list_(pa.int32())), pa.array(plain, pa.list_(pa.int32())), pa.array(odd, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(some)), *cols], names)
+                g, first = distinct(*w.grams(width))
+                (ra, rb), fields = w.records()
+                kept = [batch.column(c).slice(i, j - i) for c in (0, *range(2, batch.num_columns))]
+                cols = [pa.array(signed(x)) for x in (*w.sequences(), ra, rb)]
+                cols += [pa.array(fields, pa.int32()), pa.array(np.diff(first), pa.int32()), pa.array(list(_odd(g, first)), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*kept, *cols], ["id", *more, *CLASS, "fields", "n", "odd"])
 
-    columns = ", ".join(f"{c} long" for c in CLASS)
-    return docs.mapInArrow(run, f"id long, {columns}, n int, weighted array<int>, plain array<int>, odd array<long>")
+    extra = [F.lit(0).cast("long").alias(c) for c in CLASS] + [F.lit(0).alias("fields"), F.lit(0).alias("n"), F.lit(None).cast("array<long>").alias("odd")]
+    schema = docs.toDF("id", "text", *more).select("id", *more, *extra).schema
+    return docs.mapInArrow(run, schema)
 
 
-def _collisions(rows: DataFrame) -> DataFrame:
-    """(bucket, id, n): the members of each bucket of any table that has several, from (id, n, weighted, plain)."""
+def _collisions(docs: DataFrame, width: int, common: np.ndarray) -> DataFrame:
+    """(bucket, id, n): the members of each bucket of any table that has several, of (id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    def keys(column: pa.Array, tag: int) -> np.ndarray:
-        m = column.drop_null().flatten().to_numpy().view(np.uint32).reshape(-1, COORDINATES).astype(U)
-        two = [(m[:, i] << U(32) | m[:, j]) + U(t + tag) * U(0x9E3779B97F4A7C15) for t, (i, j) in enumerate(MASKS)]
-        return mix(np.stack(two, 1) * U(0xD6E8FEB86659FD93)).ravel()
+    def keys(m: np.ndarray, masks: list[tuple[int, ...]], tag: int) -> np.ndarray:
+        out = np.empty((len(m), len(masks)), U)
+        for t, mask in enumerate(masks):
+            h = np.full(len(m), (t + tag) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, U)
+            for i in mask:
+                h = (h ^ m[:, i]) * U(0xD6E8FEB86659FD93)
+                h ^= h >> U(32)
+            out[:, t] = mix(h)
+        return out.ravel()
 
     def make(batch: pa.RecordBatch) -> Iterator[Postings]:
-        ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
-        some = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-        for at, key in ((slice(None), keys(batch.column(2), 0)), (some, keys(batch.column(3), len(MASKS)))):
-            if len(key):
-                yield Postings(ids[at], n[at], np.full(len(ids[at]), len(MASKS)), key, None)
+        ids = batch.column(0).to_numpy()
+        for i, j, w in chunks(batch.column(1).to_pylist()):
+            some, n, weighted, much, plain = sketch(w, width, shared.value)
+            of, n = ids[i:j][some], n.astype(np.uint32)
+            for at, m, masks, tag in ((slice(None), weighted, MASKS, 0), (much, plain, PLAIN_MASKS, len(MASKS))):
+                if len(m):
+                    yield Postings(of[at], n[at], np.full(len(m), len(masks)), keys(m, masks, tag), None)
 
     def receive(key, ids, n, _) -> Iterator[pa.RecordBatch]:
         at = np.argsort(key, kind="stable")
@@ -176,7 +188,7 @@ def _collisions(rows: DataFrame) -> DataFrame:
             x = several[i : i + 1_000_000]
             yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(ids[at[x]]), pa.array(n[at[x]].astype(np.int32))], ["bucket", "id", "n"])
 
-    return send(rows.select("id", "n", "weighted", "plain"), make, receive, "bucket long, id long, n int")
+    return send(docs, make, receive, "bucket long, id long, n int")
 
 
 def _likely(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -235,10 +247,11 @@ def check_pairs(pairs: DataFrame, docs: DataFrame, width: int, similarity: float
 def _prepared(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(docs, rows: sketches of all, copies: id, rep, members: of buckets with several representatives)."""
     docs = docs.toDF("id", "text").where("text is not null")
-    rows = durable(sketches(docs, width, common_shingles(docs, width)))
+    common = common_shingles(docs, width)
+    rows = durable(signatures(docs, width).where("n > 0"))
     classes = rows.groupBy(*CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
     copies = durable(rows.select("id", *CLASS).join(classes, CLASS).where("id <> rep").select("id", "rep"))
-    members = durable(_collisions(rows.join(copies.select("id"), "id", "left_anti")))
+    members = durable(_collisions(docs.join(copies.select("id"), "id", "left_anti"), width, common))
     return docs, rows, copies, members
 
 

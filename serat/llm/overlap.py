@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serat.llm.exchange import Postings, send
-from serat.llm.neardup import ODD_BITS, _odd, check_pairs, shingle_counts
-from serat.llm.words import Words, chunks, distinct, signed
+from serat.llm.neardup import CLASS, ODD_BITS, check_pairs, shingle_counts, signatures
+from serat.llm.words import Words, chunks, signed
 from serat.session import durable
 
 U = np.uint64
@@ -51,26 +51,7 @@ def _needed(n, similarity: float):
     return F.ceil(n * (similarity / (1 + similarity)) - 1e-9)
 
 
-CLASS = ["word_a", "word_b"]
-RECORD = ["rec_a", "rec_b"]
-
-
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """Of (id, text, side): hashes of words and record, fields, number of distinct shingles, their odd sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, w in chunks(batch.column(1).to_pylist()):
-                g, first = distinct(*w.grams(width))
-                (ra, rb), fields = w.records()
-                cols = [pa.array(signed(x)) for x in (*w.sequences(), ra, rb)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *cols, pa.array(fields, pa.int32()), pa.array(np.diff(first), pa.int32()), pa.array(list(_odd(g, first)), pa.list_(pa.int64()))],
-                    ["id", "side", *CLASS, *RECORD, "fields", "n", "odd"],
-                )
-
-    columns = ", ".join(f"{c} long" for c in (*CLASS, *RECORD))
-    return docs.mapInArrow(run, f"id long, side int, {columns}, fields int, n int, odd array<long>")
+WORDS, RECORD = CLASS[:2], CLASS[2:]
 
 
 def chosen_suffixes(w: Words, width: int, similarity: float, often: np.ndarray, times: np.ndarray):
@@ -229,8 +210,8 @@ def cross_split_pairs(evaluation: DataFrame, training: DataFrame, width: int = 5
     counts = shingle_counts(docs, width, ORDER_SHARE, 2)
     rows = durable(signatures(docs, width))
     known = rows.where("n > 0")
-    classes = known.groupBy("side", *CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    copies = durable(known.select("id", "side", *CLASS).join(classes, ["side", *CLASS]).where("id <> rep").select("id", "rep"))
+    classes = known.groupBy("side", *WORDS).agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    copies = durable(known.select("id", "side", *WORDS).join(classes, ["side", *WORDS]).where("id <> rep").select("id", "rep"))
     firsts = docs.join(copies.select("id"), "id", "left_anti").select("id", "text", "side")
     listed = durable(suffix_pairs(firsts, width, similarity, counts))
     pairs = listed.where("key is null").groupBy("a", "b").agg(F.count("*").alias("covered"), F.min("want").alias("want"))
