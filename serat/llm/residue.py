@@ -16,18 +16,22 @@ from pyspark.sql import DataFrame
 
 #: Unfilled placeholders by their delimiters.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}"
-    r"|\{%[^%\n]{1,60}%\}"
-    r"|<%=?[^%\n]{1,60}%>"
-    r"|\$\{[^{}\n]{1,60}\}"
-    r"|\[\[[^\[\]\n|]{1,60}\]\]"
-    r"|(?<![{$\w])\{[A-Za-z][\w .-]{0,40}\}(?!\})"
-    r"|(?<![#\w])#[A-Z][A-Z_ ]{1,40}#"
-    r"|(?<!\w)__[A-Z][A-Z_]{0,40}?__(?!\w)"
-    r"|(?<![%\w])%[A-Z][A-Z_]{1,40}%"
-    r"|\[(?:masukkan|isikan|isi|tulis|insert|your|enter|nama|judul)\b[^\]\[\n]{0,40}\]"
-    r"|<(?!/)[a-z][a-z_]*(?: [a-z_]+){0,3}>"
+    r"(?=[{<$\[#_%@])(?:"  # no branch begins otherwise
+    r"\{\{[^{}\n]+\}\}"
+    r"|\{%[^%\n]+%\}"
+    r"|<%=?[^%\n]+%>"
+    r"|\$\{[^{}\n]+\}"
+    r"|\[\[[^\[\]\n|]+\]\]"
+    r"|(?<![{$\w])\{[A-Za-z][\w .-]*\}(?!\})"
+    r"|(?<![#\w])##?[A-Z][A-Z_ ]+##?(?!#)"
+    r"|(?<!\w)__[A-Z]+(?:_[A-Z]+)*__(?!\w)"
+    r"|(?<![%\w])%[A-Z][A-Z_]+%"
+    r"|(?<![$\w])\$[A-Z][A-Z_]+\$(?!\w)"
+    r"|(?<![@\w])@@[A-Za-z][\w .-]*@@"
+    r"|\[(?:[Mm]asukkan|[Ii]sikan|[Ii]si|[Tt]ulis|[Ii]nsert|[Yy]our|[Ee]nter|nama|judul)\b[^\]\[\n]*\]"
+    r"|<(?!/)[a-z][a-z_]*(?: [a-z_]+)*>"
     r"|\[[A-Z]+(?:[ _][A-Z]+)+\]"
+    r")"
 )
 #: Placeholders in single square or angle brackets may be tags instead.
 HTML = frozenset("a b i u p br hr em li ol ul td tr th h1 h2 h3 h4 h5 h6 div img pre sub sup code span table strong small script style".split())
@@ -37,7 +41,7 @@ FIELDS = frozenset(
 )
 EXPLAINS = re.compile(r"(?i)\b(?:variabel|variable|placeholder|templat|template|sintaks|syntax|kode|code|skrip itu|penanda|lupa mengganti\w*|tutorial|perintah|fungsi|ditulis|diganti|dipakai untuk)\b")
 CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`|<(code|pre)>.*?</\1>", re.S)
-QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|”[^”\n]{0,400}”|«[^»\n]{0,400}»")
+QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|”[^”\n]*”|«[^»\n]*»")
 
 #: Notices that stand alone as a sentence; an error code or the word error may come first.
 NOTICES = [
@@ -68,21 +72,48 @@ NOTICES = [
     r"konten belum tersedia(?:, teks sementara)?", r"(?:your|insert|enter|type) (?:your )?(?:text|content|title)(?: goes)? here", r"placeholder (?:text|headline|paragraph)@T@", r"dummy text@T@",
     r"(?:paragraf|teks|kalimat|bagian) ini hanya pengisi@T@", r"tambahkan (?:keterangan foto|judul|ringkasan|gambar)(?: di sini)?",
 ]
+#: Notices made of slots: what it is about, and the state it is in.  The state ends the sentence.
+_THING_EN = r"(?:(?:the|this|that|your|our|requested) )*(?:page|web ?site|site|article|content|resource|file|url|link|document|server|service|host|connection|request|session|account|gateway|domain|database connection|browser|java ?script)(?: you(?:'re| are| were)? (?:requested|requesting|looking for|trying to (?:view|reach|access|open)))?"
+_STATE_EN = (
+    r"(?:(?:(?:is|was|are|could|can|has|does|did|may|might)(?:n't| not| no longer)?|can't|cannot|won't|not|no longer) (?:been |be )?|)"
+    r"(?:currently |temporarily |permanently )?(?:found|available|unavailable|(?:un)?able to [a-z ]+|working|displayed|reached|loaded|load|exist|exists|accessible|responding|respond|supported|authorized|expired|timed? ?out|removed|deleted|moved|blocked|reset|interrupted|closed|disabled|required|down|offline|busy|overloaded|unreachable|forbidden|denied|refused|under (?:maintenance|construction))"
+    r"(?: on this server| in your (?:region|country|area)| at this time| right now| at the moment| temporarily| permanently)?"
+)
+_THING_ID = r"(?:halaman|laman|artikel|situs|konten|tautan|server|layanan|koneksi|permintaan|sesi|alamat|berkas)(?: web)?(?: ini| anda| yang (?:anda|kamu) (?:cari|minta|tuju|buka|maksud))?"
+_STATE_ID = (
+    r"(?:mungkin )?(?:tidak|tak|belum|gagal|sudah|telah|sedang)(?: lagi)?(?: dapat| bisa)?"
+    r" (?:ditemukan|tersedia|ada|dimuat|dibuka|diakses|dijangkau|dihubungi|diproses|merespons|berfungsi|ditampilkan|dihapus|dipindahkan|kedaluwarsa|kadaluarsa|sibuk|terputus|berakhir|habis|dalam (?:perbaikan|pemeliharaan))(?: lagi)?(?: saat ini| untuk sementara)?"
+)
+NOTICES += [
+    rf"{_THING_EN} {_STATE_EN}", rf"{_THING_ID} {_STATE_ID}", r"(?:request|session|connection|gateway|page) (?:time ?out|expired|refused|failed)",
+    r"(?:just a moment|one more step|attention required|please stand by|please wait)(?:\.\.\.|[.!…])?(?=\s*(?:$|\n|[.!?…|A-Z]))", r"(?:verifying|confirming|checking (?:if|that|whether)) you are (?:not a robot|(?:a )?human)",
+    r"(?:sorry, )?you have been (?:blocked|denied access)", r"(?:please )?complete the (?:security check|captcha|verification)@T@", r"(?:please )?turn (?:javascript|cookies) on@T@",
+    r"(?:error )?(?:establishing|connecting to|opening) (?:a |the )?(?:database|server) (?:connection)?", r"(?:we've|we have) detected that (?:javascript|cookies)@T@", r"(?:it looks like )?nothing was found at this location",
+    r"(?:unable|failed) to (?:connect|load|open|reach|process|resolve)@T@", r"gagal (?:memuat|membuka|menghubungi|menampilkan) (?:halaman|laman|situs|server|konten)(?: ini)?", r"koneksi ke (?:server|situs|basis data)(?: ini)? (?:gagal|terputus|ditolak)",
+    r"(?:proxy|gateway|database|application|runtime|network|script|dns|tls|ssl) error", r"account suspended", r"(?:bandwidth|quota|rate) limit exceeded", r"(?:your|this) connection is not (?:private|secure)", r"peramban (?:anda|ini) (?:tidak|belum) didukung",
+    r"to (?:continue|proceed)[^.\n]{0,3} (?:please )?(?:enable|allow|turn on|complete|verify)@T@", r"(?:i'm|i am|saya) (?:not|bukan) (?:a )?robot", r"(?:centang|klik|tekan) (?:kotak|tombol)(?: ini)? (?:untuk|guna) (?:membuktikan|memastikan|memverifikasi)@T@", r"click here if you are not redirected@T@",
+    r"please stand by(?:,? while)?@T@", r"(?:hmm\W+)?we're having trouble (?:finding|loading|connecting to) (?:that|this|the) (?:site|page|server)", r"you may have mistyped the address@T@",
+    r"anda tidak (?:memiliki|mempunyai|punya) (?:izin|akses|hak akses)(?: untuk)? (?:mengakses|membuka|melihat) (?:halaman|laman|situs|konten) ini", r"(?:sedang )?(?:memverifikasi|memastikan|memeriksa) (?:bahwa|apakah) anda (?:adalah )?(?:manusia|bukan robot)",
+]
 _STATUS = r"(?:(?:error|galat|http)\b[ :|#-]*)?(?:[45]\d\d\b[ :|.-]*)?(?:(?:error|galat)\b[ :|-]*)?"
 #: The rest of a notice: words that don't begin with a capital letter, which begins the next.
 _TAIL = r"(?-i:(?: [a-z0-9][\w'-]*){0,9})"
 NOTICE = re.compile(rf"(?im)(?<![^\W_])(?:(?:maaf|sorry|oops|ups)\b[,!.]? )?{_STATUS}(?:{'|'.join(NOTICES).replace('@T@', _TAIL)})(?![^\W_])")
+#: What stands after a notice.
+ENDS = re.compile(r"[ \t]*(?:[.!?…|;]|\n|\Z|[-–»•:*]|(?=[A-Z0-9\[(\"])|xxx\b)")
+SPACE = re.compile(r"\s*")
 #: A status alone on its line.
 STATUS_LINE = re.compile(r"(?im)^\W*(?:error|galat)[ :|#-]*[45]\d\d\W*$|^\W*[45]\d\d[ :|-]+(?:error|galat)\W*$")
 LOREM = frozenset(
-    "lorem ipsum dolor sit amet consec adipis elit sed eiusm tempor incid labor dolore magna aliqu enim minim venia quis nostr exerc ullam nisi commod conse duis aute irure repreh volup velit esse cillu fugia nulla paria except sint occae cupid proid sunt culpa offic deser mollit anim laborum pellen morbi tristiq senect vestib integer mauris vivam phasel curab".split()
+    "lorem ipsum dolor sit amet suspen potent nullam tortor vitae purus faucib perspi unde omnis iste natus accusam iusto odio dignis ducim blandi praese luctus donec fringi sagitt ultric pharet congue semper lacus turpis egestas vivamus nibh ligula rhoncus tellus lectus augue massa sapien eros interd condim hendre molest consec adipis elit sed eiusm tempor incid labor dolore magna aliqu enim minim venia quis nostr exerc ullam nisi commod conse duis aute irure repreh volup velit esse cillu fugia nulla paria except sint occae cupid proid sunt culpa offic deser mollit anim laborum pellen morbi tristiq senect vestib integer mauris vivam phasel curab".split()
 )
 #: Values that a template prints for nothing.
-EMPTY = re.compile(r"(?:(?:undefined|null|NaN|None|nil|N/A|#REF!|#N/A|#NAME\?|#VALUE!|#DIV/0!|\[object Object\])(?![^\W_])|(?:&nbsp;?)+|\((?:tanpa judul|kosong|untitled|no title|empty)\))")
+EMPTY = re.compile(r"(?=[#&(]|un|nu|ni|N[ao/]|\[o)(?:(?:undefined|null|NaN|None|nil|N/A|#REF!|#N/A|#NAME\?|#VALUE!|#DIV/0!|\[object Object\])(?![^\W_])|(?:&nbsp;?)+|\((?:tanpa judul|kosong|untitled|no title|empty)\))")
 
 
-#: What may stand before a notice on its line: a dash, or capitalised words of a menu.
-_MENU = re.compile(r"(?:^|\n|\s)[-–]$|(?:^|\n|[.!?]\s)(?:[A-Z]\w*[ ,]*){1,12}$")
+#: Where a notice may begin: after the end of a sentence or field, a dash, or (MENU) capitalised words of a menu from there on.
+BOUNDARY = re.compile(r"(?:\A|[.!?:;\n|…»•>*\")]|(?<!\S)[-–])[ \t]*(?=[^\s])")
+MENU = re.compile(r"[A-Z]\w*[ ,]*")
 
 
 def _covered(spans: list[tuple[int, int]], at: int) -> bool:
@@ -110,46 +141,65 @@ def _placeholders(text: str) -> bool:
     return False
 
 
+def _starts(text: str) -> list[int]:
+    """Places where a notice may begin, in order."""
+    out = set()
+    for m in BOUNDARY.finditer(text):
+        at = m.end()
+        if at in out:
+            continue
+        out.add(at)
+        before = text[m.start() : at]
+        if not before.strip() or before[0] in ".!?" and len(before) > 1:
+            while word := MENU.match(text, at):
+                at = word.end()
+                out.add(at)
+    return sorted(out)
+
+
 def _notices(text: str) -> bool:
     last = -1  # end of the notice before
-    for m in NOTICE.finditer(text):
-        before = text[: m.start()].rstrip(" \t")
-        starts = not before or before[-1] in ".!?:;\n|…»•>*\")" or last >= 0 and not text[last : m.start()].strip() or not before.strip("-–» •*>|.:") or _MENU.search(before)
-        after = text[m.end() :]
-        ends = re.match(r"[ \t]*(?:[.!?…|;]|\n|\Z|[-–»•:*]|(?=[A-Z0-9\[(\"])|xxx\b)", after) is not None
-        if starts and ends:
-            # a notice that begins in the middle of a line as an ordinary word does so with a capital letter or a code
-            head = m[0][0]
-            if head.isupper() or head.isdigit() or not before or before[-1] == "\n" or last >= 0:
-                return True
-        if starts:
+    for at in _starts(text):
+        while at >= last and (m := NOTICE.match(text, at)) and m.end() > at:
+            if ENDS.match(text, m.end()):
+                # a notice that begins in the middle of a line as an ordinary word does so with a capital letter or a code
+                before = text[:at].rstrip(" \t")
+                if m[0][0].isupper() or m[0][0].isdigit() or not before or before[-1] == "\n" or last >= 0:
+                    return True
             last = m.end()
+            at = SPACE.match(text, last).end()
     return STATUS_LINE.search(text) is not None
 
 
+WORD = re.compile(r"[^\W\d_]+")
+
+
 @lru_cache(1 << 16)
 def _is_latin(w: str) -> bool:
     return any(w.startswith(p) or len(w) > 3 and p.startswith(w) for p in LOREM)
 
 
-def _latin(words: list[str]) -> int:
+def _latin(words) -> int:
     return sum(map(_is_latin, words))
 
 
 def _filler(low: str) -> bool:
-    """Runs of mock Latin: a sentence mostly of it, or what follows the words lorem ipsum."""
+    """Runs of mock Latin: a sentence mostly of it, or of the ten words from lorem ipsum on most."""
+    if _latin(set(WORD.findall(low))) < 2:
+        return False  # every case below has two words of it
     for sentence in re.split(r"[.!?\n]", low):
-        words = re.findall(r"[^\W\d_]+", sentence)
+        words = WORD.findall(sentence)
         if len(words) >= 4 and _latin(words) >= 0.6 * len(words):
             return True
         at = sentence.find("lorem ipsum")
-        if at >= 0 and len(words := re.findall(r"[^\W\d_]+", sentence[at : at + 160])[:10]) >= 2 and _latin(words) >= min(6, len(words)):
+        if at >= 0 and len(words := WORD.findall(sentence[at:])[:10]) >= 2 and _latin(words) >= min(6, len(words)):
             return True
     return False
 
 
 def _empty_values(text: str) -> bool:
-    for block in text.split("\n\n"):
+    blocks = [x for x in text.split("\n\n") if x.strip()]
+    for block in blocks:
         lines = [x for x in block.split("\n") if x.strip()]
         full = n = 0
         for line in lines:
@@ -160,7 +210,7 @@ def _empty_values(text: str) -> bool:
             if len(rest) <= 3 and len(rest) <= max(1, 2 * len(hits)):
                 n += len(hits)
                 full += 1
-        if n >= 2 or full and full == len(lines) and len(text) < 200:
+        if n >= 2 or full and full == len(lines) and len(blocks) == 1:
             return True
     return False
 
@@ -169,7 +219,7 @@ def residue_kind(text: str | None) -> str | None:
     """The first kind of residue in a text: placeholder, filler, empty value, notice; None if there is none."""
     if not text:
         return None
-    if any(c in text for c in ("{", "<", "[", "#", "__", "%")) and _placeholders(text):
+    if _placeholders(text):
         return "placeholder"
     if _filler(text.lower()):
         return "filler"

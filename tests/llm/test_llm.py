@@ -372,6 +372,29 @@ def test_residue_without_anchors(text, kind):
     assert residue.residue_kind(text) == kind
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("{{" + "x" * 500 + "}}", "placeholder"),
+        ("Kepada [Your Name], salam", "placeholder"),
+        ("Kota $NAMA_KOTA$ dan @@NAMA@@", "placeholder"),
+        ("<nama lengkap calon penerima bantuan sosial>", "placeholder"),
+        ("Request time out.", "notice"),
+        ("This page isn't working", "notice"),
+        ("Just a moment...", "notice"),
+        ("The requested resource could not be found on this server.", "notice"),
+        ("Laman yang Anda tuju belum tersedia.", "notice"),
+        ("Judul: null\n", "empty value"),
+        ("Harga beras $ 5 dan $ 7 per kilogram @ pasar", None),
+        ("Wali kota mengatakan halaman sekolah tidak tersedia untuk parkir.", None),
+        ("The page he wrote was never found by the police.", None),
+        ("Server di kantor itu sudah tidak berfungsi sejak banjir.", None),
+    ],
+)
+def test_residue_of_any_length_and_wording(text, kind):
+    assert residue.residue_kind(text) == kind
+
+
 def test_residue_long(spark):
     df = frame(spark, ["kata biasa " * 50_000, "{" * 5000, None, "x {{nama}}"])
     assert {r.id for r in residue.find_residue(df).collect()} == {4}
