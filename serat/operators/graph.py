@@ -36,9 +36,10 @@ def build_nodes(inputs: DataFrame) -> DataFrame:
     """(coll, key, normalized, entity_type, confidence, mentions, source_docs, aliases, temporal_start, temporal_end, language).
 
     The upsert's running mean is the mean, its marks are minimum and maximum as strings (an empty start of a duration
-    is the smallest), and the first mention gives the language (O-FLD03).  Aggregated before the shuffle.
+    is the smallest), and the first mention gives the language (O-FLD03), the smaller one among mentions of one place.
+    Aggregated before the shuffle.
     """
-    seq = F.struct("doc", "phase", "pos")
+    seq = F.struct("doc", "phase", "pos", "language")
     return inputs.groupBy("coll", "key", "normalized", "entity_type").agg(
         F.avg("confidence").alias("confidence"),
         F.count("*").alias("mentions"),
@@ -57,19 +58,22 @@ def build_edges(log: DataFrame, block: int = BLOCK) -> DataFrame:
     applied in order of (doc, seq) (O-FLD04): the same kind adds to the edge, another replaces it only if it is
     strictly surer.  So the kind after any prefix is that of the earliest record with the prefix's greatest confidence;
     the edge's content comes from the last stretch of its final kind.  The prefix maximum is taken over blocks of
-    documents first and then within each block, so that one pair's long history is no single task's.
+    documents first and then within each block, so that one pair's long history is no single task's.  Records of one
+    (doc, seq) are in order of their confidence, kind, anchor and sentence; a null confidence is the least.
     """
-    state = F.struct(F.col("confidence").alias("c"), (-F.col("doc")).alias("d"), (-F.col("seq")).alias("s"), F.col("relation_type").alias("t"))
+    order = ["doc", "seq", "confidence", "relation_type", "temporal_anchor", "source_sentence"]
+    # the smallest state is the surest record, the earliest of equals
+    state = F.struct(F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("c"), "doc", "seq", F.col("relation_type").alias("t"))
     rows = log.withColumn("block", F.floor(F.col("doc") / block)).withColumn("state", state)
     pair = ["coll", "source", "target"]
-    blocks = rows.groupBy(*pair, "block").agg(F.max("state").alias("top"))
-    carry = F.max("top").over(Window.partitionBy(*pair).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    final = rows.groupBy(*pair).agg(F.max("state").alias("final"))
+    blocks = rows.groupBy(*pair, "block").agg(F.min("state").alias("top"))
+    carry = F.min("top").over(Window.partitionBy(*pair).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    final = blocks.groupBy(*pair).agg(F.min("top").alias("final"))
     rows = rows.join(blocks.select(*pair, "block", carry.alias("carry")), [*pair, "block"]).join(final, pair)
-    run = Window.partitionBy(*pair, "block").orderBy("doc", "seq")
-    up_to = lambda end: F.max("state").over(run.rowsBetween(Window.unboundedPreceding, end))
-    rows = rows.withColumn("now", F.greatest(up_to(0), "carry")).withColumn("was", F.greatest(up_to(-1), "carry"))
-    at = F.struct("doc", "seq")
+    run = Window.partitionBy(*pair, "block").orderBy(*order)
+    up_to = lambda end: F.min("state").over(run.rowsBetween(Window.unboundedPreceding, end))
+    rows = rows.withColumn("now", F.least(up_to(0), "carry")).withColumn("was", F.least(up_to(-1), "carry"))
+    at = F.struct(*order)
     bad = F.col("now.t") != F.col("final.t")
     turns = rows.groupBy(*pair).agg(F.max(F.when(bad, at)).alias("bad"), F.count_if(F.col("was.t") != F.col("now.t")).alias("replacements"))
     tail = rows.join(turns, pair).where(F.col("bad").isNull() | (at > F.col("bad"))).where(F.col("relation_type") == F.col("final.t"))
@@ -78,7 +82,7 @@ def build_edges(log: DataFrame, block: int = BLOCK) -> DataFrame:
     part = F.slice(F.coalesce("evidence", F.array().cast("array<string>")), 1, F.when(at == F.col("first"), 3).otherwise(2))
     return tail.groupBy(*pair).agg(
         F.max("final.t").alias("relation_type"),
-        F.max("final.c").alias("confidence"),
+        F.max("confidence").alias("confidence"),
         F.count("*").alias("mentions"),
         F.array_sort(F.collect_set("doc")).alias("source_docs"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), part.alias("e")))), lambda x: x["e"])).alias("evidence"),

@@ -15,9 +15,11 @@ _TOKENS = r"[a-z0-9]+"
 
 def _ngram_counts(df: DataFrame, column: str, n: int) -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(_TOKENS), F.lit(0))
-    last = F.size(words) - (n - 1)
-    grams = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return df.select("id", F.explode(grams).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
+    # the words beside those one further, and so on; what hangs over the end is null
+    grams = words
+    for k in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(words, F.lit(k), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return df.select("id", F.explode(grams).alias("g")).where("g is not null").groupBy("id", "g").agg(F.count("*").alias("n"))
 
 
 def rouge_n(pairs: DataFrame, n: int = 1) -> DataFrame:

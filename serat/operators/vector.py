@@ -35,7 +35,7 @@ def tfidf(docs: DataFrame, stopwords: list[str] = X.STOPWORDS_OUTLIER, max_df: f
     docs = docs.toDF("coll", "doc", "text")
     # the words in a step of their own: the pairs read them several times
     words = docs.select("coll", "doc", tokens(F.col("text"), stopwords).alias("w"))
-    tf = words.select("coll", "doc", F.explode(terms(F.col("w"))).alias("term")).groupBy("coll", "doc", "term").agg(F.count("*").alias("tf"))
+    tf = durable(words.select("coll", "doc", F.explode(terms(F.col("w"))).alias("term")).groupBy("coll", "doc", "term").agg(F.count("*").alias("tf")))
     n = docs.groupBy("coll").agg(F.count("*").alias("n"))
     stats = tf.groupBy("coll", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(n, "coll").where(F.col("df") <= F.lit(max_df) * F.col("n"))
     top = Window.partitionBy("coll").orderBy(F.col("cf").desc(), "term")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,7 @@ from pyspark.sql import types as T
 from serat.functions import dates as D
 from serat.functions import text as X
 from serat.operators import graph as G
+from serat.session import durable
 
 
 @F.pandas_udf(T.DoubleType())
@@ -20,57 +24,108 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
 
-def _letters(c: str) -> Column:
-    """Each letter of a name with the number of its occurrences so far: a multiset as a set."""
-    low = F.lower(F.col(c))
+#: Names of one side that a task compares with as many of the other.
+CELL = 2_000
+#: Classes of characters for the bound: letters and digits of their own, the others by their code.
+CLASSES = 48
 
-    def nth(i: Column) -> Column:
-        letter, head = F.substr(low, i, F.lit(1)), F.substr(low, F.lit(1), i)
-        return F.concat(letter, (F.length(head) - F.length(F.replace(head, letter, F.lit("")))).cast("string"))
 
-    return F.transform(F.sequence(F.lit(1), F.length(low)), nth)
+def _histograms(names: list[str]) -> np.ndarray:
+    """How often each class of characters stands in each name, up to 255."""
+    out = np.zeros((len(names), CLASSES), np.int64)
+    for i, n in enumerate(names):
+        for c in n:
+            k = ord(c)
+            out[i, k - 97 if 97 <= k < 123 else k - 22 if 48 <= k < 58 else 36 + k % 12] += 1
+    return out
 
 
-def similar_names(wanted: DataFrame, names: DataFrame, least: float = 0.7) -> DataFrame:
-    """(want, name, ratio) of the pairs of distinct names whose ratio reaches ``least``.
+def _compared(wanted: list[str], names: list[str], least: float, best: bool) -> Iterator[tuple[int, int, float]]:
+    """(place of wanted, place of name, ratio) from ``least`` on, or of each wanted only the best.
 
-    A ratio of r needs r(la + lb)/2 shared letters.  So the two names share one of their rarest letters (each numbered
-    by its occurrence), of which a name of n letters gives n - n r/(2 - r) + 1: an equi-join on these finds all pairs.
-    Then the lengths and the shared letters prune exactly, and only what is left is compared.  Empty names match nothing.
+    The letters that two names share bound their ratio from above.  Whole blocks are bounded at once, and a pair is
+    compared only if its bound passes, for the best in order of the bound, until it falls below what is found.
     """
-    w = wanted.toDF("want").where("want <> ''").distinct()
-    n = names.toDF("name").where("name <> ''").distinct()
-    wl, nl = w.select("want", F.explode(_letters("want")).alias("t")), n.select("name", F.explode(_letters("name")).alias("t"))
-    often = nl.groupBy("t").agg(F.count("*").alias("often"))
-
-    def rare(each: DataFrame, c: str) -> DataFrame:
-        ranked = each.join(often, "t", "left").groupBy(c).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("o"), "t"))).alias("ts"))
-        size = F.size("ts")
-        return ranked.select(c, F.explode(F.slice("ts", 1, (size - F.ceil(size * (least / (2 - least)) - 1e-9) + 1).cast("int"))).alias("x")).select(c, F.col("x.t").alias("t"))
-
-    la, lb = F.length("want"), F.length("name")
-    pairs = rare(wl, "want").join(rare(nl, "name"), "t").where(2 * F.least(la, lb) >= least * (la + lb) - 1e-9).select("want", "name").distinct()
-    shared = F.size(F.array_intersect(_letters("want"), _letters("name")))
-    pairs = pairs.where(2 * shared >= least * (la + lb) - 1e-9).withColumn("ratio", similarity_ratio("want", "name"))
-    return pairs.where(F.col("ratio") >= least)
+    hw, hn = _histograms(wanted), _histograms(names)
+    lw, ln = hw.sum(1), hn.sum(1)
+    hw, hn = np.minimum(hw, 255).astype(np.uint8), np.minimum(hn, 255).astype(np.uint8)
+    matcher = SequenceMatcher(None)
+    for i, w in enumerate(wanted):
+        shared = np.minimum(hw[i], hn).sum(1, dtype=np.int64)
+        # a class that fills its byte is as good as shared in full
+        bound = np.where((hw[i] == 255).any() | (hn == 255).any(1), 1.0, 2 * shared / np.maximum(lw[i] + ln, 1))
+        at = np.flatnonzero(bound >= least - 1e-9)
+        if best:
+            at = at[np.argsort(-bound[at], kind="stable")]
+        top = least
+        found: list[tuple[int, float]] = []
+        matcher.set_seq1(w)
+        for j in at:
+            if best and bound[j] < top - 1e-9:
+                break
+            matcher.set_seq2(names[j])
+            r = matcher.ratio() if w != names[j] else 1.0
+            if r >= top:
+                if best and r > top:
+                    found = []
+                found.append((j, r))
+                top = r if best else top
+        for j, r in found:
+            yield i, int(j), r
+
+
+def similar_names(wanted: DataFrame, names: DataFrame, least: float = 0.7, best: bool = False) -> DataFrame:
+    """(space, want, name, ratio) of the pairs of names of one space whose ratio reaches ``least``, whatever their case.
+
+    Both inputs are (space STRING, name STRING), or names of one space alone; a null space equals itself.  With ``best`` only the best pairs of each
+    wanted name in its cell come out, of which the caller takes the best of all.  The ratio has no selective key: two
+    similar names need not have three letters in a row in common.  So distinct names are divided into cells of about
+    CELL by CELL names, by their hash, and each cell is bounded in blocks; no pair is a row before it has been compared.
+    Empty and null names match nothing.
+    """
+    spark = wanted.sparkSession
+    both = lambda d: d if len(d.columns) == 2 else d.select(F.lit("").alias("space"), *d.columns)
+    low = lambda d, c: both(d).toDF("space", "x").where("x <> ''").select(F.coalesce("space", F.lit("")).alias("space"), F.lower("x").alias(c)).distinct()
+    w, n = durable(low(wanted, "want")), durable(low(names, "name"))
+    parts = [max(1, -(-d.count() // CELL)) for d in (w, n)]
+    own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    w = w.select("space", "want", own("want", parts[0]).alias("i"), every(parts[1]).alias("j"))
+    n = n.select("space", "name", every(parts[0]).alias("i"), own("name", parts[1]).alias("j"))
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = sorted(a["want"]), sorted(b["name"])
+        rows = [(key[0], x[i], y[j], r) for i, j, r in _compared(x, y, least, best)]
+        return pd.DataFrame(rows, columns=["space", "want", "name", "ratio"])
+
+    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(parts[0] * parts[1], 10_000))
+    w, n = (d.repartition(cells, "space", "i", "j") for d in (w, n))
+    return w.groupBy("space", "i", "j").cogroup(n.groupBy("space", "i", "j")).applyInPandas(run, "space string, want string, name string, ratio double")
 
 
 def match_entities(claim_entities: DataFrame, nodes: DataFrame, least: float = 0.7) -> DataFrame:
     """``claim_entities`` (key, normalized, entity_type, ...) with node_key, match_status, match_confidence (O-JN06).
 
     The node of the key itself (1.0), else the most similar name or alias of the type, else of any type (times 0.8);
-    the smaller key among equals.
+    the smaller key among equals.  Only what one step leaves enters the next.
     """
     keys = nodes.select(F.col("key").alias("node_key")).distinct()
     exact = claim_entities.join(keys, F.col("key") == F.col("node_key"), "left")
-    rest = exact.where("node_key is null").select("key", "normalized", "entity_type").distinct()
-    names = nodes.select(F.col("key").alias("node_key"), F.col("entity_type").alias("node_type"), F.explode(F.array_union(F.array("normalized"), "aliases")).alias("name"))
-    near = similar_names(rest.select("normalized"), names.select("name"), least)
-    found = rest.join(near, F.col("normalized") == F.col("want")).join(names, "name")
-    typed = F.col("entity_type") == F.col("node_type")
-    best = F.min(F.struct((~typed).cast("int").alias("any"), (-F.col("ratio")).alias("neg"), "node_key")).alias("best")
-    fuzzy = found.groupBy("key").agg(best).select(F.col("key").alias("k"), F.col("best.node_key").alias("near_key"), (F.when(F.col("best.any") == 0, 1.0).otherwise(0.8) * -F.col("best.neg")).alias("near"))
-    out = exact.join(fuzzy, F.col("key") == F.col("k"), "left")
+    rest = durable(exact.where("node_key is null").select("key", F.lower("normalized").alias("want"), "entity_type").distinct())
+    names = nodes.select(F.col("key").alias("near_key"), F.col("entity_type").alias("space"), F.explode(F.array_union(F.array("normalized"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    names = durable(names.select("near_key", "space", F.lower("name").alias("name")).where("name <> ''").distinct())
+
+    def nearest(rest: DataFrame, names: DataFrame, weight: float) -> DataFrame:
+        """(k, near_key, near): the best node of each key."""
+        near = similar_names(rest.select("space", "want"), names.select("space", "name"), least, best=True)
+        found = rest.join(near, ["space", "want"]).join(names, ["space", "name"])
+        top = F.min(F.struct((-F.col("ratio")).alias("neg"), "near_key")).alias("best")
+        return durable(found.groupBy("key").agg(top).select(F.col("key").alias("k"), F.col("best.near_key").alias("near_key"), (F.lit(weight) * -F.col("best.neg")).alias("near")))
+
+    typed = nearest(rest.withColumnRenamed("entity_type", "space"), names, 1.0)
+    left = rest.join(typed.select(F.col("k").alias("key")), "key", "left_anti").withColumn("space", F.lit(""))
+    any_ = nearest(left, names.select("near_key", F.lit("").alias("space"), "name").distinct(), 0.8)
+    out = exact.join(typed.unionByName(any_), F.col("key") == F.col("k"), "left")
     status = F.when(F.col("node_key").isNotNull(), "VERIFIED").when(F.col("near_key").isNotNull(), "PARTIALLY_VERIFIED").otherwise("UNVERIFIED")
     sure = F.when(F.col("node_key").isNotNull(), 1.0).otherwise(F.coalesce("near", F.lit(0.0)))
     return out.withColumns({"match_status": status, "match_confidence": sure, "node_key": F.coalesce("node_key", "near_key")}).drop("k", "near", "near_key")
@@ -157,16 +212,37 @@ def summary_verdict(results: DataFrame, by: str = "summary_id") -> DataFrame:
     return a.select(by, "claims", "verified", "hallucinations", rate.alias("rate"), "confidence", status.alias("status"))
 
 
+#: Distinct first four letters of names that are sent to all texts: some 100 MB in a worker at most.
+BEGINNINGS = 500_000
+
+
 def known_entities(texts: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
-    """(id, key): up to ``most`` nodes of which a name of more than 3 characters occurs in the text (O-FLT11, O-JN16).
+    """(id BIGINT, key): up to ``most`` nodes of which a name of more than 3 characters occurs in the text (O-FLT11, O-JN16).
 
-    Substrings are found by an equi-join on four letters of each name, then checked: no pair of text and name is tried
-    that doesn't share them.
+    Where four letters of a text begin some name, the pieces of the text as long as such names are travel to an
+    equi-join with the names; the text itself doesn't.  The most mentioned first, then the smaller key.
     """
-    names = nodes.select("key", "mentions", F.explode(F.array_union(F.array("normalized"), "aliases")).alias("name")).where("length(name) > 3")
-    names = names.withColumn("g", F.lower(F.substring("name", 1, 4)))
-    t = texts.toDF("id", "text").where("text is not null").withColumn("low", F.lower("text"))
-    grams = t.select("id", "low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 3, F.lit(1))), lambda i: F.substr("low", i, F.lit(4))))).alias("g"))
-    hits = grams.join(names, "g").where(F.col("low").contains(F.lower("name"))).select("id", "key", "mentions").distinct()
+    names = nodes.select("key", "mentions", F.explode(F.array_union(F.array("normalized"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("length(name) > 3")
+    names = durable(names.select("key", "mentions", F.lower("name").alias("name"), F.lower(F.substring("name", 1, 4)).alias("g")).distinct())
+    lengths = durable(names.groupBy("g").agg(F.collect_set(F.length("name")).alias("lengths")))
+    # the beginnings of names are sent to the texts if they are few; else every place of a text travels to them
+    few = lengths.count() <= BEGINNINGS
+    begins = texts.sparkSession.sparkContext.broadcast({r.g: r.lengths for r in lengths.collect()} if few else {})
+    reach = 0 if few else lengths.agg(F.max(F.array_max("lengths"))).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = begins.value
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = range(len(t) - 3)
+                pieces = list({t[k : k + n] for k in at if (ns := known.get(t[k : k + 4])) for n in ns} if few else {t[k : k + reach] for k in at})
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(pieces), pa.int64()), pa.array(pieces, pa.string())], ["id", "name"])
+
+    lower = texts.toDF("id", "text").where("length(text) > 3").select(F.col("id").cast("long").alias("id"), F.lower("text").alias("low"))
+    pieces = lower.mapInArrow(run, "id long, name string")
+    if not few:
+        pieces = pieces.withColumn("g", F.substring("name", 1, 4)).join(lengths, "g").select("id", "name", F.explode("lengths").alias("n"))
+        pieces = pieces.select("id", F.substr("name", F.lit(1), F.col("n")).alias("name")).distinct()
+    hits = pieces.join(names, "name").select("id", "key", "mentions").distinct()
     w = Window.partitionBy("id").orderBy(F.col("mentions").desc(), "key")
     return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("id", "key")

@@ -414,14 +414,15 @@ def _log(spark, d):
     )
 
 
+_ORDER = "doc, seq, confidence, relation_type, temporal_anchor, source_sentence"
 _EDGES = f"""{_LOG},
-states AS (SELECT *, arg_max(relation_type, row(confidence, -doc, -seq)) OVER w AS now, lag(relation_type) OVER w IS NULL AS is_first FROM log
-  WINDOW w AS (PARTITION BY source, target ORDER BY doc, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-finals AS (SELECT source, target, arg_max(relation_type, row(confidence, -doc, -seq)) AS final, max(confidence) AS top FROM log GROUP BY source, target),
-turns AS (SELECT source, target, max(row(doc, seq)) FILTER (now <> final) AS bad FROM states JOIN finals USING (source, target) GROUP BY source, target),
-changes AS (SELECT source, target, count(*) FILTER (now <> was) AS replacements FROM (SELECT source, target, now, lag(now) OVER (PARTITION BY source, target ORDER BY doc, seq) AS was FROM states) GROUP BY source, target),
-tail AS (SELECT s.*, final, top FROM states s JOIN finals USING (source, target) JOIN turns USING (source, target) WHERE relation_type = final AND (bad IS NULL OR row(doc, seq) > bad)),
-edges AS (SELECT source, target, any_value(final) AS relation_type, any_value(top) AS confidence, count(*) AS mentions, arg_min(temporal_anchor, row(doc, seq)) AS temporal_anchor, arg_min(source_sentence, row(doc, seq)) AS source_sentence
+states AS (SELECT *, arg_min(relation_type, row(-confidence, doc, seq, relation_type)) OVER w AS now, lag(relation_type) OVER w IS NULL AS is_first FROM log
+  WINDOW w AS (PARTITION BY source, target ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+finals AS (SELECT source, target, arg_min(relation_type, row(-confidence, doc, seq, relation_type)) AS final, max(confidence) AS top FROM log GROUP BY source, target),
+turns AS (SELECT source, target, max(row({_ORDER})) FILTER (now <> final) AS bad FROM states JOIN finals USING (source, target) GROUP BY source, target),
+changes AS (SELECT source, target, count(*) FILTER (now <> was) AS replacements FROM (SELECT source, target, now, lag(now) OVER (PARTITION BY source, target ORDER BY {_ORDER}) AS was FROM states) GROUP BY source, target),
+tail AS (SELECT s.*, final, top FROM states s JOIN finals USING (source, target) JOIN turns USING (source, target) WHERE relation_type = final AND (bad IS NULL OR row({_ORDER}) > bad)),
+edges AS (SELECT source, target, any_value(final) AS relation_type, any_value(top) AS confidence, count(*) AS mentions, arg_min(temporal_anchor, row({_ORDER})) AS temporal_anchor, arg_min(source_sentence, row({_ORDER})) AS source_sentence
   FROM tail GROUP BY source, target)"""
 
 
@@ -554,7 +555,7 @@ def relation_verdicts(spark, d):
     c = table(spark, d, "orders").select(
         F.concat(F.lit("SUPPLIER:"), F.pmod("o_custkey", F.lit(50)).cast("string")).alias("source"), F.concat(F.lit("PART:"), F.pmod("o_orderkey", F.lit(44)).cast("string")).alias("target"), kind.alias("predicate")
     ).distinct()
-    return V.match_relations(c, _edges(spark, d)).select("source", "target", "predicate", "relation_status", "relation_confidence")
+    return V.match_relations(c, durable(_edges(spark, d))).select("source", "target", "predicate", "relation_status", "relation_confidence")
 
 
 @query(
@@ -599,18 +600,19 @@ def claim_verification(spark, d):
 
 
 @query(
-    """WITH n AS (SELECT DISTINCT normalized AS name FROM entity WHERE length(normalized) > 3), h AS (SELECT doc_id AS id, name FROM documents JOIN n ON contains(lower(text), lower(name)))
-SELECT id, key FROM (SELECT id, name AS key, row_number() OVER (PARTITION BY id ORDER BY name) AS r FROM h) WHERE r <= 5"""
+    """WITH n AS (SELECT DISTINCT key, lower(name) AS name FROM (SELECT normalized AS key, unnest(list_concat([normalized], coalesce(aliases, []))) AS name FROM entity WHERE normalized IS NOT NULL) WHERE length(name) > 3),
+m AS (SELECT DISTINCT name FROM n), h AS (SELECT DISTINCT doc_id AS id, key FROM documents JOIN m ON contains(lower(text), m.name) JOIN n USING (name))
+SELECT id, key FROM (SELECT id, key, row_number() OVER (PARTITION BY id ORDER BY key) AS r FROM h) WHERE r <= 5"""
 )
 def known_entities(spark, d):
-    names = table(spark, d, "entity").where("normalized is not null").select(F.col("normalized").alias("key"), F.lit(1).alias("mentions"), "normalized", F.array().cast("array<string>").alias("aliases")).distinct()
-    return V.known_entities(table(spark, d, "documents").select("doc_id", "text"), names)
+    names = table(spark, d, "entity").where("normalized is not null").select(F.col("normalized").alias("key"), F.lit(1).alias("mentions"), "normalized", "aliases").distinct()
+    return V.known_entities(spread(table(spark, d, "documents").select("doc_id", "text")), names)
 
 
 @query()
 def similar_names(spark, d):
     e = table(spark, d, "entity")
-    return V.similar_names(e.where(F.pmod("entity_id", F.lit(100)) == 0).select("normalized"), e.select("normalized"))
+    return V.similar_names(e.where(F.pmod("entity_id", F.lit(100)) == 0).select("normalized"), e.select("normalized")).drop("space")
 
 
 # --- summaries and metrics --------------------------------------------------------------------------------------
@@ -624,9 +626,10 @@ def lexrank_summaries(spark, d):
     return summarize.summaries(documents(spark, d), method="lexrank")
 
 
-@query(
-    f"SELECT doc_id AS doc, array_to_string(list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?]+'), lambda s: {_strip('s')}), lambda s: length(s) >= 11)[1:3], '. ') || '.' AS summary FROM documents"
-)
+_LEAD = f"array_to_string(list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?]+'), lambda s: {_strip('s')}), lambda s: length(s) >= 11)[1:3], '. ') || '.'"
+
+
+@query(f"SELECT doc_id AS doc, {_LEAD} AS summary FROM documents")
 def lead_summaries(spark, d):
     return documents(spark, d).select("doc", summarize.lead(F.col("text")).alias("summary"))
 
@@ -641,23 +644,31 @@ def verified_summaries(spark, d):
     return summarize.verified_summaries(documents(spark, d), check)
 
 
-_ROUGE = """
-pairs AS (SELECT doc_id AS id, text AS reference, left(text, 300) AS prediction FROM documents WHERE text IS NOT NULL),
-r AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(reference), '[a-z0-9]+')) AS g FROM pairs) GROUP BY id, g),
-p AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(prediction), '[a-z0-9]+')) AS g FROM pairs) GROUP BY id, g),
+def _rouge_sql(n: int) -> str:
+    """Scores of n-grams of each text's lead summary against the text."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    counts = lambda c: f"(SELECT id, g, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: {gram})) AS g FROM (SELECT id, regexp_extract_all(lower({c}), '[a-z0-9]+') AS w FROM pairs)) GROUP BY id, g)"
+    return f"""WITH pairs AS (SELECT doc_id AS id, text AS reference, {_LEAD} AS prediction FROM documents WHERE text IS NOT NULL),
+r AS {counts('reference')}, p AS {counts('prediction')},
 c AS (SELECT id, sum(least(coalesce(r.n, 0), coalesce(p.n, 0))) AS hit, sum(r.n) AS nr, sum(p.n) AS np FROM r FULL JOIN p USING (id, g) GROUP BY id),
-s AS (SELECT pairs.id, coalesce(hit / np, 0) AS p, coalesce(hit / nr, 0) AS r FROM pairs LEFT JOIN c USING (id))"""
+s AS (SELECT pairs.id, coalesce(hit / np, 0) AS p, coalesce(hit / nr, 0) AS r FROM pairs LEFT JOIN c USING (id))
+SELECT id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM s"""
 
 
 def _rouge_pairs(spark, d):
-    return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("reference"), F.substring("text", 1, 300).alias("prediction"))
+    return spread(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("reference"), summarize.lead(F.col("text")).alias("prediction")))
 
 
-@query(f"WITH {_ROUGE} SELECT id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM s")
+@query(_rouge_sql(1))
 def rouge_1(spark, d):
     return _rounded(metrics.rouge_n(_rouge_pairs(spark, d), 1))
 
 
+@query(_rouge_sql(2))
+def rouge_2(spark, d):
+    return _rounded(metrics.rouge_n(_rouge_pairs(spark, d), 2))
+
+
 @query()
 def rouge_l(spark, d):
     return metrics.rouge_l(_rouge_pairs(spark, d))

@@ -227,6 +227,55 @@ def test_similar_names(spark):
     assert want <= got
 
 
+@pytest.mark.parametrize("cell", [7, 2000])
+def test_similar_names_in_cells(spark, monkeypatch, cell):
+    """Exactly the pairs of brute force, and of those the best, however names are divided."""
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(V, "CELL", cell)
+    rng = random.Random(6)
+    names = list(dict.fromkeys("".join(rng.choice("aBcd é9") for _ in range(rng.randrange(1, 12))).strip() or "x" for _ in range(60))) + ["a" * 300, "a" * 299 + "b", "", None]
+    df = spark.createDataFrame([("s", n) for n in names] + [("t", "only here")], "space string, n string")
+    low = sorted({n.lower() for n in names if n})
+    ratio = {(a, b): SequenceMatcher(None, a, b).ratio() for a in low for b in low}
+    got = {(r.want, r.name): r.ratio for r in V.similar_names(df, df).collect() if r.space == "s"}
+    assert got == {k: pytest.approx(v) for k, v in ratio.items() if v >= 0.7}
+    other = spark.createDataFrame([("s", n) for n in low[::2]], "space string, n string")
+    best = {}
+    for r in V.similar_names(df, other, best=True).collect():
+        best[r.want] = max(best.get(r.want, 0), r.ratio)
+    assert best == {a: pytest.approx(m) for a in low if (m := max(ratio[a, b] for b in low[::2])) >= 0.7}
+    assert V.similar_names(df.limit(0), df).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_known_entities(spark, monkeypatch, few):
+    monkeypatch.setattr(V, "BEGINNINGS", few)
+    nodes = spark.createDataFrame(
+        [("P:budi", 3, "Budi Santoso", ["Pak Budi", "abc", None]), ("O:kpk", 9, "KPK", None), ("O:bank", 3, "Bank Nerin", []), ("P:budi2", 5, "budi santoso", [])], "key string, mentions int, normalized string, aliases array<string>"
+    )
+    texts = spark.createDataFrame([(1, "kata BUDI SANTOSO dan bank nerin, KPK"), (2, "pak budiman"), (3, None), (4, ""), (5, "abc" * 40_000)], "id long, text string")
+    assert {(r.id, r.key) for r in V.known_entities(texts, nodes, 2).collect()} == {(1, "P:budi2"), (1, "O:bank"), (2, "P:budi")}
+    assert {r.key for r in V.known_entities(texts.where("id = 1"), nodes, 5).collect()} == {"P:budi2", "O:bank", "P:budi"}
+    assert V.known_entities(texts, nodes.limit(0)).count() == 0
+
+
+def test_rouge_n_is_linear(spark):
+    """A text of 200,000 words, twice: each word is read once."""
+    text = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, text, text), (2, "a b c d", "b c"), (3, None, "a"), (4, "a", "a")], "id long, reference string, prediction string")
+    got = {r.id: (r.precision, r.recall) for r in metrics.rouge_n(df, 2).collect()}
+    assert got == {1: (1.0, 1.0), 2: (1.0, pytest.approx(1 / 3)), 3: (0.0, 0.0), 4: (0.0, 0.0)}
+
+
+def test_edges_with_ties(spark):
+    """Records of one document and place are in a fixed order, whatever the order of the rows."""
+    cols = "coll string, doc long, seq int, source string, target string, relation_type string, confidence double, evidence array<string>, temporal_anchor string, source_sentence string"
+    rows = [("c", 1, 1, "a", "b", k, c, ["e"], t, s) for k, c, t, s in [("X", 0.5, "2", "s"), ("Y", 0.5, "1", "s"), ("X", None, "3", "s"), ("X", 0.5, "1", "t")]]
+    seen = {tuple(map(str, G.build_edges(spark.createDataFrame(r, cols)).first())) for r in (rows, rows[::-1], rows[2:] + rows[:2])}
+    assert len(seen) == 1 and next(iter(seen))[3:6] == ("X", "0.5", "3")
+
+
 def test_match_entities(spark):
     nodes = spark.createDataFrame([("PERSON:Budi Santoso", "Budi Santoso", "PERSON", ["Pak Budi"]), ("ORGANIZATION:KPK", "KPK", "ORGANIZATION", [])], "key string, normalized string, entity_type string, aliases array<string>")
     c = spark.createDataFrame([("ORGANIZATION:KPK", "KPK", "ORGANIZATION"), ("PERSON:Budi Santosa", "Budi Santosa", "PERSON"), ("PERSON:Xyz", "Xyz", "PERSON")], "key string, normalized string, entity_type string")
