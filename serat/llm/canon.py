@@ -1,8 +1,8 @@
 """Records that are the same but for white space, letter case, punctuation or field order, by progressive refinement.
 
 First all rows are divided by cheap invariants (number of letters and digits, histogram of some letters), which every
-form of a record shares; only rows in classes of several members get the costlier key, the digest of their sorted
-fields.  Only hashes and ids of all rows are aggregated, before the shuffle; texts move for the classes that remain.
+form of a record shares.  Classes of several members are noted in a bit map of fixed size; only rows whose class is in
+it get the costlier key, the digest of their sorted fields, where they are read.  Hashes and ids travel, texts never do.
 """
 
 from __future__ import annotations
@@ -30,13 +30,23 @@ def _invariant(s: Column) -> Column:
     return F.xxhash64(F.length(s), *[F.length(F.replace(s, F.lit(c), F.lit(""))) for c in HISTOGRAM])
 
 
+#: Bits of the map of classes with several members, in words of 64: at most BITS / 64 rows are broadcast.
+BITS = 1 << 26
+
+
 def _several(rows: DataFrame) -> DataFrame:
-    """(tbl, id, key) of rows whose cheap class has several members."""
-    rows = rows.where("text is not null").withColumn("s", solid(F.col("text"))).where("s <> ''")
-    rows = rows.select("tbl", "id", "text", _invariant(F.col("s")).alias("k"))
-    classes = rows.groupBy("tbl", "k").agg(F.count("*").alias("n")).where("n > 1").select("tbl", "k")
-    left = rows.join(classes, ["tbl", "k"], "left_semi")
-    return left.select("tbl", "id", F.unhex(F.md5(F.concat_ws("|", canonical_fields(F.col("text"))))).alias("key"))
+    """(tbl, id, key) of rows whose cheap class has several members, and of some others, whose bit is the same."""
+    rows = rows.where("text is not null")
+    k = F.xxhash64("tbl", _invariant(solid(F.col("text"))))
+    classes = rows.select(k.alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.pmod("k", F.lit(BITS))
+    word, bit = (place / 64).cast("int"), (place % 64).cast("int")
+    words = classes.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    left = rows.select("tbl", "id", "text", k.alias("k")).withColumn("word", word).join(F.broadcast(words), "word")
+    left = left.where(F.call_function("shiftright", "bits", bit).bitwiseAND(F.lit(1)) == 1)
+    fields = left.select("tbl", "id", canonical_fields(F.col("text")).alias("fields"))
+    key = F.when(F.size("fields") > 0, F.unhex(F.md5(F.concat_ws("|", "fields"))))
+    return fields.select("tbl", "id", key.alias("key"))
 
 
 def copy_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +56,7 @@ def copy_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields and whatever the order.  ``keep_id`` is the smallest id.  Rows with null text or without a letter or digit
     are in no group; groups of one are left out.  An empty table gives none.
     """
-    keyed = durable(_several(rows.toDF("tbl", "id", "text")))
+    keyed = durable(_several(rows.toDF("tbl", "id", "text"))).where("key is not null")
     groups = keyed.groupBy("tbl", "key").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).where("copies > 1")
     copies = keyed.join(groups, ["tbl", "key"]).where("id <> keep_id").select("tbl", "keep_id", F.col("id").alias("copy_id"))
     return copies, groups.select("tbl", "keep_id", "copies")

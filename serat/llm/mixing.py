@@ -9,10 +9,8 @@ from serat.session import durable
 
 #: Documents of one cell on average; cells divide a source by length and a hash, so that no task holds a hot source.
 CELL = 50_000
-#: Length classes of a source: powers of 2**(1/4).
-PER_DOUBLING = 4
-#: Random offsets tried for each source.
-OFFSETS = 24
+#: Length classes of a source: powers of 2**(1/16).
+PER_DOUBLING = 16
 
 
 def expected_copies(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -34,10 +32,9 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """(id, source, n_tokens, copies): the documents of the mixture and how often each is used.
 
     ``sized``: (id BIGINT unique, source STRING, n_tokens BIGINT).  Within a source the documents stand in order of
-    length class; a prefix sum of their expected copies plus one random offset passes whole numbers, and a document is
+    length class, and in a class's cells of length; a prefix sum of their expected copies plus one random offset passes whole numbers, and a document is
     used once for each that it passes: floor(rate) or ceil(rate) times, never above ``max_repeats``.  As neighbours are
-    alike in length, the tokens follow the counts; of OFFSETS random offsets a source takes the one that does it best.  Documents without
-    tokens, of null or of other sources aren't used.
+    alike in length, the tokens follow the counts.  Documents without tokens, of null or of other sources aren't used.
     """
     sized = sized.toDF("id", "source", "n_tokens").where("n_tokens > 0 and source is not null")
     rates = durable(expected_copies(sized, targets))
@@ -49,22 +46,11 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     cells = docs.groupBy("source", "len", "part").agg(F.count("*").alias("docs"))
     before = Window.partitionBy("source").orderBy("len", "part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("source", "len", "part", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("offset"))
-    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("source", "len", "part").orderBy(F.xxhash64("id", F.lit(seed)), "id")))
-    at = F.col("offset") + F.col("rank")
-    placed = durable(ranked.join(cells, ["source", "len", "part"]).select("id", "source", "n_tokens", "rate", at.alias("at")))
-    # a long document more or less is a large part of a small source: of several random offsets take the one nearest
-    # to the target; all are tried in one pass, whose result is a row a source
-    used = lambda k: F.col("n_tokens") * _crossed(_offset(k, seed))
-    tried = placed.groupBy("source").agg(F.sum(F.col("rate") * F.col("n_tokens")).alias("want"), *[F.sum(used(k)).alias(f"t{k}") for k in range(OFFSETS)])
-    miss = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("want")).alias("miss"), _offset(k, seed).alias("u")) for k in range(OFFSETS)])
-    chosen = durable(tried.select("source", F.array_min(miss)["u"].alias("u")))
-    return placed.join(F.broadcast(chosen), "source").select("id", "source", "n_tokens", _crossed(F.col("u")).alias("copies")).where("copies > 0")
-
-
-def _offset(k: int, seed: int) -> Column:
-    """The k-th random offset of a source, in [0, 1): a golden-ratio sequence from a start drawn for the source."""
+    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("source", "len", "part").orderBy("n_tokens", F.xxhash64("id", F.lit(seed)), "id")))
+    placed = ranked.join(cells, ["source", "len", "part"]).withColumn("at", F.col("offset") + F.col("rank"))
+    # one random offset a source
     u = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return F.pmod(u + F.lit(k * 0.6180339887498949), F.lit(1.0))
+    return placed.select("id", "source", "n_tokens", _crossed(u).alias("copies")).where("copies > 0")
 
 
 def _crossed(u: Column) -> Column:

@@ -47,6 +47,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.found_lines(_hoax(spark, d, "source")).select(F.col("id").alias("row_id"), "line_no")
 
 
+def p4_branches(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of how many sources the ratio marks, and how many the rule adds."""
+    return lines.excess_lines(_hoax(spark, d, "source")).groupBy("branch").agg(F.count("*").alias("lines"), F.count_distinct("source").alias("sources"))
+
+
 def p4_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines in excess or repeated, by the hash of their comparison form."""
     return lines.repeated_lines(_hoax(spark, d, "source")).where("significant or repeated")
@@ -121,7 +126,7 @@ def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        p1_found, p1_by_split_and_source, p3_found, p3_entities, p4_found, p4_lines, p4_clean, p5_found, p5_groups, p6_found, p6_records,
+        p1_found, p1_by_split_and_source, p3_found, p3_entities, p4_found, p4_branches, p4_lines, p4_clean, p5_found, p5_groups, p6_found, p6_records,
         p7_packed, p7_fill, p8_mixture, p8_shares, p9_found, p9_kinds,
     )
 }

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("SERAT_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The pre-tokenisation pattern published with that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer runs of letters, digits, signs or spaces are encoded piece by piece: BPE takes quadratic time in a run.
-LONG_RUN = 10_000
 
 
 @functools.cache
@@ -29,11 +27,7 @@ def encoding(path: str):
 
 def count_tokens(text: str, path: str = VOCABULARY) -> int:
     """Tokens of a whole text; strings of special tokens are ordinary text."""
-    enc = encoding(path)
-    text = text.encode("utf-8", "replace").decode("utf-8")
-    if len(text) <= LONG_RUN or max(map(len, text.split()), default=0) <= LONG_RUN and "  " * 500 not in text:
-        return len(enc.encode_ordinary(text))
-    return sum(len(enc.encode_ordinary(text[i : i + LONG_RUN])) for i in range(0, len(text), LONG_RUN))
+    return len(encoding(path).encode_ordinary(text.encode("utf-8", "replace").decode("utf-8")))
 
 
 def with_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
