@@ -23,23 +23,23 @@ from pyspark.sql import functions as F
 from serat.operators.components import connected_components
 from serat.session import durable
 
-# Titles, degrees, kinds of organisations and words that organisations add to their name.
+# Titles, degrees, kinds of organisations, and legal forms and seats that may follow an organisation's name.
 TITLES = frozenset("pak bu bapak ibu prof professor dr drs dra ir h hj kh haji hajah ustad ustadz brigjen mayjen letjen jenderal kolonel mayor kapten saudara saudari sdr sdri tuan nyonya mr mrs ms".split())
 NICK = frozenset("kak cak mas mbak bang cik mang neng".split())
 DEGREES = frozenset("sh mh se mm st mt spd mpd msi ssi phd mba skom mkom sip sos ssos ma msc bsc ag sag stmt".split())
 KINDS = {
     "bank": ["bank", "bk", "bnk"],
     "badan": ["badan", "bdn", "agency", "board"],
-    "koperasi": ["koperasi", "kop", "koprasi", "cooperative", "coop"],
+    "koperasi": ["koperasi", "kop", "cooperative", "coop"],
     "yayasan": ["yayasan", "yay", "yys", "foundation"],
     "lembaga": ["lembaga", "lemb", "lmbg", "institute", "institution"],
-    "universitas": ["universitas", "univ", "unversitas", "university of", "university"],
+    "universitas": ["universitas", "univ", "university of", "university"],
     "partai": ["partai", "prt", "party"],
-    "kementerian": ["kementerian", "kemen", "kmtr", "kementrian", "kemenetrian", "ministry of", "ministry"],
+    "kementerian": ["kementerian", "kemen", "kmtr", "ministry of", "ministry"],
     "pt": ["pt", "p t", "perseroan terbatas", "limited company", "company", "corporation", "corp", "inc", "ltd"],
     "rumah sakit": ["rumah sakit", "rs", "r s", "rsu", "rsud", "hospital"],
 }
-ADDED = frozenset("sentosa bersatu mandiri lestari abadi makmur utama jaya pusat persero tbk ri indonesia".split())
+ADDED = frozenset("pusat persero tbk ri indonesia".split())
 _KIND_WORDS = sorted(((w.split(), k) for k, ws in KINDS.items() for w in ws), key=lambda x: -len(x[0]))
 
 
@@ -61,8 +61,11 @@ def _kind(tokens: list[str]) -> tuple[str | None, list[str]]:
             return kind, tokens[:-n]
     # a kind with one typing error
     for words, kind in _KIND_WORDS:
-        if len(words) == 1 and len(words[0]) >= 5 and len(tokens) > 1 and within_one(tokens[0], words[0]):
-            return kind, tokens[1:]
+        if len(words) == 1 and len(words[0]) >= 5 and len(tokens) > 1:
+            if within_one(tokens[0], words[0]):
+                return kind, tokens[1:]
+            if within_one(tokens[-1], words[0]):
+                return kind, tokens[:-1]
     return None, tokens
 
 
@@ -181,10 +184,18 @@ def trie_join(words: DataFrame, prefix: int, suffix: int) -> DataFrame:
     return shards.repartition(parts, "space", "shard").mapInArrow(run, "space string, a string, b string").distinct()
 
 
-def _classes(words: DataFrame, prefix: int, suffix: int, fuzzy: int) -> DataFrame:
-    """(space, word, class): the trie join's components, by a hash of space and word."""
+def _classes(words: DataFrame, prefix: int, suffix: int, fuzzy: int, replaced: bool = True) -> DataFrame:
+    """(space, word, class): the trie join's components, by a hash of space and word.
+
+    Words of fewer than ``fuzzy`` letters are classes of their own.  ``replaced``: whether a letter may be another one,
+    or only be missing or in the other's place.
+    """
     node = lambda w: F.xxhash64("space", w)
-    pairs = trie_join(words.where(F.length("word") >= fuzzy), prefix, suffix).select(node("a").alias("a"), node("b").alias("b"))
+    pairs = trie_join(words.where(F.length("word") >= fuzzy), prefix, suffix)
+    if not replaced:
+        letters = lambda w: F.array_sort(F.split(w, ""))
+        pairs = pairs.where((F.length("a") != F.length("b")) | (letters("a") == letters("b")))
+    pairs = pairs.select(node("a").alias("a"), node("b").alias("b"))
     comp = connected_components(durable(pairs))
     return words.withColumn("node", node("word")).join(comp, "node", "left").select("space", "word", F.coalesce("component", "node").alias("class"))
 
@@ -215,6 +226,25 @@ def _forms(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, own boolean, cls string, tokens array<string>")
 
 
+def _by_middle(full: DataFrame) -> DataFrame:
+    """``full`` (name, ent, turn, tokens, ...) with entities divided that agree in two tokens but not in the others.
+
+    These are the names between a person's given and family names and the words after an organisation's first two.  They are the same if they are one edit apart, and an initial stands for the only one that begins so.  Of
+    an entity that is divided, names without any of them fit several: they are left out, as short forms are.
+    """
+    middle = F.when((F.col("turn") == 0) & (F.col("cls") == "P"), F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(0)))).otherwise(F.slice("tokens", 3, F.size("tokens")))
+    full = durable(full.withColumn("m", F.when(F.size("tokens") > 2, F.array_join(middle, " "))).drop("tokens", "turn"))
+    said = full.where("length(m) > 1").select(F.col("ent").cast("string").alias("space"), F.col("m").alias("word")).distinct()
+    several = said.groupBy("space").agg(F.count("*").alias("n")).where("n > 1").select("space")
+    words = _classes(said.join(several, "space", "left_semi"), 1, 1, 4)
+    words = durable(words.select(F.col("space").cast("long").alias("ent"), F.col("word").alias("m"), "class"))
+    apart = words.groupBy("ent").agg(F.count_distinct("class").alias("n")).where("n > 1").select("ent", F.lit(True).alias("apart"))
+    first = words.groupBy("ent", F.substring("m", 1, 1).alias("m")).agg(F.min("class").alias("class"), F.max("class").alias("top")).where("class = top").drop("top")
+    known = words.unionByName(first.join(words.select("ent", "m"), ["ent", "m"], "left_anti"))
+    out = full.join(apart, "ent", "left").join(known, ["ent", "m"], "left").where("apart is null or class is not null")
+    return out.withColumn("ent", F.when(F.col("apart"), F.xxhash64("ent", "class")).otherwise(F.col("ent"))).drop("apart", "class", "m")
+
+
 def link_names(rows: DataFrame) -> DataFrame:
     """(id, entity): the entity of each row that names a person or organisation and can be resolved.
 
@@ -227,16 +257,24 @@ def link_names(rows: DataFrame) -> DataFrame:
     several = names.where(F.size("tokens") > 1)
     # hypotheses: family last and given first, or family first and given second
     t = F.col("tokens")
-    last = F.element_at(t, -1)
+    # an organisation's name is its first two tokens, whatever follows tells it from others
+    last = F.when(F.col("cls").startswith("O"), t[1]).otherwise(F.element_at(t, -1))
     both = F.array(F.struct(F.lit(0).alias("turn"), last.alias("f"), t[0].alias("g")), F.struct(F.lit(1).alias("turn"), t[0].alias("f"), t[1].alias("g")))
-    hyp = several.select("name", "cls", "n", F.explode(both).alias("h")).select("name", "cls", "n", "h.*").where("length(f) >= 4")
+    hyp = several.select("name", "cls", "n", F.explode(both).alias("h")).select("name", "cls", "n", "h.*")
+    # shorter family names only where the given name is as short, else the longer token is the family
+    hyp = hyp.where("length(f) >= 4 or cls = 'P' and length(f) > 1 and length(g) in (2, 3)")
     glue = names.where(F.size("tokens") == 1).select("name", "cls", "n", t[0].alias("f"))
     words = hyp.select("f").union(glue.select("f")).distinct().select(F.lit("f").alias("space"), F.col("f").alias("word"))
     fam = durable(_classes(words, 2, 3, 6)).select(F.col("word").alias("f"), F.col("class").alias("fam"))
-    hyp = durable(hyp.join(fam, "f"))
+    # families of four and five letters: an edit counts where the given name is the same, as near ones are often others
+    brief = hyp.where("turn = 0 and length(f) in (4, 5) and length(g) >= 3").select(F.concat_ws("|", "cls", "g").alias("space"), F.col("f").alias("word")).distinct()
+    brief = _classes(brief, 1, 1, 4, replaced=False)
+    brief = durable(brief.join(brief.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "class", "left_semi"))
+    hyp = hyp.join(fam, "f").withColumn("space", F.concat_ws("|", "cls", "g")).join(brief.select("space", F.col("word").alias("f"), F.lit(0).alias("turn"), "class"), ["space", "f", "turn"], "left")
+    hyp = durable(hyp.withColumn("fam", F.coalesce("class", "fam")).drop("space", "class"))
     # three letters are a given name of their own unless a longer one of the family begins with them
     g4 = hyp.where("length(g) >= 4").select("cls", "fam", F.substring("g", 1, 3).alias("g")).distinct()
-    long_ = hyp.where("length(g) >= 4").unionByName(hyp.where("length(g) = 3").join(g4, ["cls", "fam", "g"], "left_anti"), allowMissingColumns=True)
+    long_ = hyp.where("length(g) >= 4 or length(f) < 4").unionByName(hyp.where("length(g) = 3 and length(f) >= 4").join(g4, ["cls", "fam", "g"], "left_anti"), allowMissingColumns=True)
     space = F.concat_ws("|", "cls", F.col("fam").cast("string"))
     given = durable(_classes(long_.select(space.alias("space"), F.col("g").alias("word")).distinct(), 1, 1, 3)).toDF("space", "g", "ent")
     # the order of the tokens: turned only if others have the turned name in its natural order and none has this one
@@ -246,7 +284,8 @@ def link_names(rows: DataFrame) -> DataFrame:
     rated = known.join(support, "ent", "left").withColumn("others", F.coalesce("support", F.lit(0)) - F.when(F.col("turn") == 0, F.col("n")).otherwise(0))
     best = F.max_by("ent", F.struct(F.col("others") > 0, (F.col("turn") == 0).cast("int"), "others", "ent"))
     full = rated.groupBy("name").agg(best.alias("ent"))
-    full = durable(full.join(known.select("name", "ent", "cls", "fam", "g").distinct(), ["name", "ent"]))
+    turns = known.groupBy("name", "ent", "cls", "fam", "g").agg(F.min("turn").alias("turn"))
+    full = durable(_by_middle(full.join(turns, ["name", "ent"]).join(names.select("name", "tokens"), "name")))
     entity = full.groupBy("cls", "fam", "ent", "g").agg(F.lit(1).alias("one")).drop("one")
     only = lambda df: df.groupBy("name").agg(F.min("ent").alias("ent"), F.max("ent").alias("top")).where("ent = top").select("name", "ent")
     rest = hyp.join(full.select("name").distinct(), "name", "left_anti").where("turn = 0")
@@ -255,9 +294,9 @@ def link_names(rows: DataFrame) -> DataFrame:
     first = F.when(F.length("g") == 2, F.substring("g", 1, 1)).otherwise(F.col("g"))
     short = only(short.where(F.col("full_g").startswith(first)).select("name", "ent"))
     # the family name alone; two names run together
-    alone = only(glue.where("length(f) >= 5").join(fam, "f").join(entity, ["cls", "fam"]).select("name", "ent"))
+    alone = only(glue.where("length(f) >= 3").join(fam, "f").join(entity, ["cls", "fam"]).select("name", "ent"))
     joined = full.join(names.select("name", "tokens"), "name").select("cls", F.concat_ws("", "tokens").alias("f"), "ent").distinct()
-    joined = only(glue.where("length(f) >= 9").join(joined, ["cls", "f"]).select("name", "ent"))
+    joined = only(glue.join(joined, ["cls", "f"]).select("name", "ent"))
     # an organisation without its kind
     kindless = full.where("cls = 'O?'").select("name", "fam", "g", F.col("ent").alias("own_ent"))
     kinds = entity.where("cls like 'O:%'").select("fam", "g", "ent")

@@ -427,3 +427,16 @@ def test_names(spark):
     got = {(r.id_a, r.id_b) for r in names.linked_pairs(df).collect()}
     assert got == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (5, 6), (7, 10), (7, 11), (10, 11), (8, 9)}
     assert names.linked_pairs(df.limit(0)).count() == 0
+
+
+def test_names_of_other_persons_and_organisations(spark):
+    """All tokens count, short names too; nothing is decided by a list of words."""
+    rows = [
+        (1, "PERSON", "Budi Agus Santoso"), (2, "PERSON", "Budi Joko Santoso"), (3, "PERSON", "Budi J. Santoso"), (4, "PERSON", "Budi Santoso"), (5, "PERSON", "Budi Agoes Santoso"),
+        (6, "ORGANIZATION", "Bank Sinar Kencana Jaya"), (7, "ORGANIZATION", "Bank Sinar Kencana Makmur"), (8, "ORGANIZATION", "Bank Sinar Kencana Jaya Tbk"), (9, "ORGANIZATION", "Bank Sinar Kencana"),
+        (10, "PERSON", "Ahmad Rizal"), (11, "PERSON", "Ahmad Rizl"), (12, "PERSON", "Ahmad Rizam"), (13, "PERSON", "Lia Ode"), (14, "PERSON", "Ode, Lia"),
+        (15, "ORGANIZATION", "Kementrian Laut Dalam"), (16, "ORGANIZATION", "Laut Dalam Kemenetrian"), (17, "ORGANIZATION", "Ministry of Laut Dalam"),
+    ]
+    df = spark.createDataFrame([(*r, r[2], []) for r in rows], "id long, t string, text string, normalized string, aliases array<string>")
+    got = {(r.id_a, r.id_b) for r in names.linked_pairs(df).collect()}
+    assert got == {(1, 5), (2, 3), (6, 8), (10, 11), (13, 14), (15, 16), (15, 17), (16, 17)}
