@@ -105,6 +105,21 @@ def history(log: DataFrame) -> DataFrame:
     return log.select("coll", "relation_type", "source", "target").distinct()
 
 
+def node(nodes: DataFrame, key: str) -> DataFrame:
+    """O-KG02: the node of a key in each collection; the filter reaches the scan of stored nodes."""
+    return nodes.where(F.col("key") == key)
+
+
+def nodes_by_type(nodes: DataFrame, entity_type: str) -> DataFrame:
+    """O-JN13: all nodes of a type."""
+    return nodes.where(F.col("entity_type") == entity_type)
+
+
+def by_document(nodes: DataFrame) -> DataFrame:
+    """O-KG09: (coll, doc, key), the index of documents."""
+    return nodes.select("coll", F.explode("source_docs").alias("doc"), "key")
+
+
 def by_time(nodes: DataFrame, start: str, end: str) -> DataFrame:
     """O-KG03: nodes whose marks lie in the range, compared as strings; no or empty start: not in it."""
     return nodes.where((F.col("temporal_start") != "") & (F.col("temporal_start") <= end) & (F.col("temporal_end").isNull() | (F.col("temporal_end") >= start)))

@@ -11,7 +11,6 @@ from serat.session import durable
 #: A word of at least two letters, digits or underscores.
 TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}"
 MAX_FEATURES = 5000
-PRESETS = {"strict": 2.0, "moderate": 1.5, "loose": 3.0}
 
 
 def tokens(text: Column, stopwords: list[str]) -> Column:

@@ -198,11 +198,6 @@ def strip_tags(spark, d):
     return documents(spark, d).select("doc", X.strip_tag(F.col("text")).alias("clean"))
 
 
-@query()
-def spoken_text(spark, d):
-    return documents(spark, d).select("doc", X.strip_fillers(X.scrub_markup(F.col("text"))).alias("spoken"))
-
-
 @query(
     f"SELECT doc_id AS doc, CASE WHEN len(list_filter(w, lambda t: t IN ({_quoted(X.LANGUAGE_WORDS['id'])}))) >= len(list_filter(w, lambda t: t IN ({_quoted(X.LANGUAGE_WORDS['en'])}))) THEN 'id' ELSE 'en' END AS lang FROM (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '{WS}+') AS w FROM documents)"
 )
@@ -210,12 +205,6 @@ def languages(spark, d):
     return documents(spark, d).select("doc", X.detect_language(F.col("text")).alias("lang"))
 
 
-@query()
-def normalized_names(spark, d):
-    e = table(spark, d, "entity")
-    return e.select("entity_id", X.normalize_entity(F.col("text"), F.col("entity_type"), F.coalesce("lang", F.lit("id"))).alias("name"))
-
-
 @query(f"SELECT doc_id AS doc, coalesce({' OR '.join(f'contains(lower(text), {chr(39)}{k.lower()}{chr(39)})' for k in X.WATCHED)}, false) AS watched, coalesce(length(text), 0) > 10 AS usable FROM documents")
 def keyword_filter(spark, d):
     return documents(spark, d).select("doc", X.contains_keyword(F.col("text")).alias("watched"), X.is_foreign_input(F.col("text"), []).alias("usable"))
@@ -256,22 +245,27 @@ def random_sample(spark, d):
     return etl.sample_exact(table(spark, d, "documents").select("doc_id"), "doc_id", 100)
 
 
-@query("SELECT row_id, CASE WHEN label = 1 THEN 1 WHEN label = 0 THEN 0 END AS label FROM hoax_dataset")
+@query("SELECT row_id, CASE row_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 END AS label FROM hoax_dataset")
 def normalized_labels(spark, d):
-    words = F.when(F.col("label") == 1, "Hoax ").when(F.col("label") == 0, "FAKTA")
+    """Known words, two unknown ones, of which the first by the alphabet is 1, and null."""
+    k = F.pmod("row_id", F.lit(5))
+    words = F.when(k == 0, "Hoax ").when(k == 1, "FAKTA").when(k == 2, "aneh").when(k == 3, "Zona abu")
     return etl.normalize_labels(table(spark, d, "hoax_dataset").select("row_id", words.alias("label")))
 
 
-@query(
-    "WITH a AS (SELECT content, source FROM hoax_dataset UNION ALL SELECT title, 'cnn' FROM cnnindonesia_news_raw) SELECT source, count(*) AS records FROM a WHERE length(content) > 20 GROUP BY source"
-)
+@query("SELECT source, content, row_id FROM (SELECT content, source, row_id FROM hoax_dataset UNION ALL SELECT title, 'cnn', NULL FROM cnnindonesia_news_raw) WHERE length(content) > 20")
 def combined(spark, d):
     news = table(spark, d, "cnnindonesia_news_raw").select(F.col("title").alias("content"))
-    both = table(spark, d, "hoax_dataset").select("content", "source").unionByName(etl.combine({"cnn": news}))
-    return etl.usable(both).groupBy("source").agg(F.count("*").alias("records"))
+    both = table(spark, d, "hoax_dataset").select("content", "source", "row_id").unionByName(etl.combine({"cnn": news}), allowMissingColumns=True)
+    return etl.usable(both).select("source", "content", "row_id")
 
 
-@query()
+@query(
+    rf"""WITH p AS (SELECT regexp_replace(coalesce(judul, ''), '^\[.*?\]{WS}*', '') AS content FROM turnbackhoax_2020_2025),
+v AS (SELECT DISTINCT coalesce(kanal, '') AS file, title FROM cnnindonesia_news_raw WHERE title IS NOT NULL)
+SELECT {_strip("content")} AS content, 1 AS label FROM p UNION ALL
+SELECT title, 0 FROM (SELECT title, row_number() OVER (ORDER BY md5(concat('42-', file, '|', title)), concat(file, '|', title)) AS r FROM v) WHERE r <= (SELECT count(*) FROM p)"""
+)
 def hoax_training_data(spark, d):
     return etl.hoax_data(table(spark, d, "turnbackhoax_2020_2025").select("judul"), table(spark, d, "cnnindonesia_news_raw").select(F.coalesce("kanal", F.lit("")), "title"))
 
@@ -460,9 +454,9 @@ def graph_counts(spark, d):
     return G.count_by_type(_nodes(spark, d))
 
 
-@query(f"WITH {_NODES} SELECT key FROM nodes WHERE temporal_start <> '' AND temporal_start <= '1992-02-01' AND temporal_end >= '1992-01-10'")
+@query(f"WITH {_NODES} SELECT key FROM nodes WHERE temporal_start <> '' AND temporal_start <= '1995-02-01' AND temporal_end >= '1995-01-10'")
 def graph_by_time(spark, d):
-    return G.by_time(_nodes(spark, d), "1992-01-10", "1992-02-01").select("key")
+    return G.by_time(_nodes(spark, d), "1995-01-10", "1995-02-01").select("key")
 
 
 @query(f"WITH {_EDGES} SELECT source, target, relation_type FROM edges WHERE contains(source, 'SUPPLIER:1') AND relation_type = 'CAUSES'")
@@ -528,18 +522,22 @@ def graph_neighbourhood(spark, d):
     return G.neighbourhood(_places(spark, d), "R:ASIA", 2)
 
 
-@query(f"WITH {_PLACES} SELECT source, target FROM places")
+@query(f"WITH {_PLACES}, k AS (SELECT source AS key, list_sort(list(target)) AS targets FROM places GROUP BY source) SELECT key, array_to_string(targets, ',') AS targets, CASE WHEN starts_with(key, 'R:') THEN key END AS region, p.target, 0.5::DOUBLE AS confidence FROM k JOIN places p ON p.source = key")
 def graph_round_trip(spark, d):
-    from serat.operators import graph as g
+    """Nodes with a list and a null, edges with a number, through JSON and back."""
+    e = _places(spark, d).withColumn("confidence", F.lit(0.5))
+    n = e.groupBy(F.col("source").alias("key")).agg(F.array_sort(F.collect_set("target")).alias("targets")).withColumn("region", F.when(F.col("key").startswith("R:"), F.col("key")))
+    n, e = G.from_json(G.to_json(n, e), "key string, targets array<string>, region string", "source string, target string, confidence double")
+    return n.join(e, F.col("key") == F.col("source")).select("key", F.array_join("targets", ",").alias("targets"), "region", "target", "confidence")
 
-    e = _places(spark, d)
-    n = e.select(F.col("source").alias("key"), F.lit(1).alias("mentions")).distinct()
-    return g.from_json(g.to_json(n, e), "key string, mentions int", "source string, target string")[1]
 
-
-@query()
+@query(
+    f"""WITH {_EDGES}, n AS (SELECT source, sum(mentions) AS weight FROM edges GROUP BY source ORDER BY weight DESC, source LIMIT 10),
+f AS (SELECT e.source, relation_type, target, weight, row_number() OVER (PARTITION BY e.source ORDER BY target) AS r FROM edges e JOIN n USING (source))
+SELECT CAST(row_number() OVER (ORDER BY weight DESC, source, r) AS INTEGER) AS rank, source, relation_type, target FROM f WHERE r <= 3 ORDER BY weight DESC, source, r LIMIT 30"""
+)
 def graph_top_facts(spark, d):
-    e = _edges(spark, d)
+    e = durable(_edges(spark, d))
     n = e.groupBy(F.col("source").alias("key")).agg(F.sum("mentions").alias("mentions"))
     return G.top_facts(n, e)
 
@@ -790,11 +788,10 @@ def sentence_similarity(spark, d):
     return vector.cosine_pairs(vector.tfidf(s, X.STOPWORDS_RANKER, max_df=1.0))
 
 
-@query("SELECT l_partkey AS doc, count(*) AS tokens FROM lineitem GROUP BY l_partkey")
+@query("SELECT l_partkey AS doc, round(avg(l_quantity), 3) AS first, round(avg(l_discount), 4) AS second FROM lineitem GROUP BY l_partkey")
 def pooled_vectors(spark, d):
-    t = table(spark, d, "lineitem").select(F.col("l_partkey").alias("doc"), F.array(F.col("l_quantity"), F.lit(1.0)).alias("embedding"))
-    n = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("doc")).agg(F.count("*").alias("tokens"))
-    return vector.mean_pool(t).where("embedding[1] = 1").join(n, "doc").select("doc", "tokens")
+    t = table(spark, d, "lineitem").select(F.col("l_partkey").alias("doc"), F.array("l_quantity", "l_discount").alias("embedding"))
+    return vector.mean_pool(t).select("doc", F.round(F.col("embedding")[0].cast("double"), 3).alias("first"), F.round(F.col("embedding")[1].cast("double"), 4).alias("second"))
 
 
 @query(f"WITH {_NODES} SELECT DISTINCT left(temporal_start, 10) AS day, key FROM nodes WHERE temporal_start <> ''")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from serat.plans import news, training_data
+from serat.plans import news, pieces, training_data
 
 FLAGSHIP = "topic_outliers"
-QUERIES = {**news.QUERIES, **training_data.QUERIES}
-ORACLES = {**news.ORACLES, **training_data.ORACLES}
+QUERIES = {**news.QUERIES, **pieces.QUERIES, **training_data.QUERIES}
+ORACLES = {**news.ORACLES, **pieces.ORACLES, **training_data.ORACLES}

@@ -51,13 +51,20 @@ def spread(df: DataFrame) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut and a lost executor costs nothing done before.
 
-    The table is removed when the driver's Python ends.
+    The table is removed when the driver's Python ends, or by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/serat-{os.getpid()}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``durable`` that nothing reads any more."""
+    _remove(df.sparkSession, df._durable)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """O-SNK01, O-SNK02: with a header, quotes doubled."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """O-SNK01, O-SNK02: with a header, quotes doubled, white space kept."""
+    df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
