@@ -788,10 +788,10 @@ def sentence_similarity(spark, d):
     return vector.cosine_pairs(vector.tfidf(s, X.STOPWORDS_RANKER, max_df=1.0))
 
 
-@query("SELECT l_partkey AS doc, round(avg(l_quantity), 3) AS first, round(avg(l_discount), 4) AS second FROM lineitem GROUP BY l_partkey")
+@query("SELECT l_partkey AS doc, avg(l_quantity)::FLOAT::DOUBLE AS first, avg(l_discount)::FLOAT::DOUBLE AS second FROM lineitem GROUP BY l_partkey")
 def pooled_vectors(spark, d):
     t = table(spark, d, "lineitem").select(F.col("l_partkey").alias("doc"), F.array("l_quantity", "l_discount").alias("embedding"))
-    return vector.mean_pool(t).select("doc", F.round(F.col("embedding")[0].cast("double"), 3).alias("first"), F.round(F.col("embedding")[1].cast("double"), 4).alias("second"))
+    return vector.mean_pool(t).select("doc", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"))
 
 
 @query(f"WITH {_NODES} SELECT DISTINCT left(temporal_start, 10) AS day, key FROM nodes WHERE temporal_start <> ''")
