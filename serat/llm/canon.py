@@ -36,13 +36,14 @@ BITS = 1 << 26
 
 def _several(rows: DataFrame) -> DataFrame:
     """(tbl, id, key) of rows whose cheap class has several members, and of some others, whose bit is the same."""
-    rows = rows.where("text is not null")
-    k = F.xxhash64("tbl", _invariant(solid(F.col("text"))))
-    classes = rows.select(k.alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    # the letters and digits in a step of their own: the invariant reads them several times
+    rows = rows.where("text is not null").withColumn("s", solid(F.col("text")))
+    rows = rows.select("tbl", "id", "text", F.xxhash64("tbl", _invariant(F.col("s"))).alias("k"))
+    classes = rows.select("k").groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     place = F.pmod("k", F.lit(BITS))
     word, bit = (place / 64).cast("int"), (place % 64).cast("int")
     words = classes.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    left = rows.select("tbl", "id", "text", k.alias("k")).withColumn("word", word).join(F.broadcast(words), "word")
+    left = rows.withColumn("word", word).join(F.broadcast(words), "word")
     left = left.where(F.call_function("shiftright", "bits", bit).bitwiseAND(F.lit(1)) == 1)
     fields = left.select("tbl", "id", canonical_fields(F.col("text")).alias("fields"))
     key = F.when(F.size("fields") > 0, F.unhex(F.md5(F.concat_ws("|", "fields"))))
