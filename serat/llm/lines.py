@@ -1,8 +1,9 @@
 """Lines repeated across one source's documents: legal notices, share prompts, bylines.
 
-Each line's share of the source's records is compared with its share of all others by the log-likelihood ratio, with
-the false-discovery rate held by Benjamini and Hochberg's rule.  Lines are counted by the hash of their comparison
-form, once a record and before the shuffle, so neither a source nor a line that a third of all rows share is hot.
+Lines are found by the rule, which asks for a number and a share of the source's records, or by the ratio: each line's
+share of the source's records is compared with its share of all others by the log-likelihood ratio, with the
+false-discovery rate held by Benjamini and Hochberg's rule.  Lines are counted by the hash of their comparison form,
+once a record and before the shuffle, so neither a source nor a line that a third of all rows share is hot.
 """
 
 from __future__ import annotations
@@ -38,17 +39,22 @@ def _cross_entropy(k: Column, n: Column) -> Column:
     return F.when((k <= 0) | (k >= n), F.lit(0.0)).otherwise(k * F.log(p) + (n - k) * F.log1p(-p))
 
 
+def _counts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, h1, h2, records), (source, size): records with each line, and all records, null texts included."""
+    rows = rows.toDF("id", "text", "source").where("source is not null")
+    sizes = rows.groupBy("source").agg(F.count("*").alias("size"))
+    each = rows.where("text is not null").select("source", F.explode(F.array_distinct(_lines(F.col("text")))).alias("h"))
+    return each.where("h is not null").groupBy("source", "h.h1", "h.h2").agg(F.count("*").alias("records")), sizes
+
+
 def line_statistics(rows: DataFrame, least_records: int = 6) -> tuple[DataFrame, DataFrame]:
     """(statistics, counts of all lines).  Statistics: (source, h1, h2, records, share, outside, llr): lines of at least ``least_records`` records of one source.
 
     ``rows``: (id, text, source).  ``share`` is of all the source's records, null texts included; ``outside`` counts
     the records of other sources with the line; ``llr`` is 0 unless the share within is the larger one.
     """
-    rows = rows.toDF("id", "text", "source").where("source is not null")
-    sizes = rows.groupBy("source").agg(F.count("*").alias("size"))
+    counts, sizes = _counts(rows)
     total = sizes.agg(F.sum("size").alias("total"))
-    each = rows.where("text is not null").select("source", F.explode(F.array_distinct(_lines(F.col("text")))).alias("h"))
-    counts = each.where("h is not null").groupBy("source", "h.h1", "h.h2").agg(F.count("*").alias("records"))
     counts = durable(counts)
     often = counts.where(F.col("records") >= least_records)
     everywhere = counts.join(often.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.sum("records").alias("all"))
@@ -88,24 +94,35 @@ def repeated_lines(rows: DataFrame, least_records: int = 6, least_share: float =
     return stats.withColumns({"significant": F.col("llr") >= F.lit(ratio), "repeated": F.col("share") >= least_share})
 
 
-def excess_lines(rows: DataFrame, **how) -> DataFrame:
-    """(source, h1, h2, branch): the lines to remove from a source's records.
+def excess_lines(rows: DataFrame, by: str = "rule", least_records: int = 6, least_share: float = 0.05, **how) -> DataFrame:
+    """(source, h1, h2): the lines to remove from a source's records.
 
-    ``branch`` is "ratio" where the log-likelihood ratio is significant, and "share" for a line that reaches the least
-    share of the source's records but is as frequent in other sources: the rule asks for it, the ratio alone would not.
+    ``by`` "rule": the ``repeated`` ones; the ratio has no say in them and isn't computed.  ``by`` "ratio": of these only
+    the ``significant`` ones, so lines as frequent in other sources stay, and all lines if there is no other source.
     """
-    marks = repeated_lines(rows, **how).where("repeated")
-    by = lambda which, branch: marks.where(which).select("source", "h1", "h2", F.lit(branch).alias("branch"))
-    return by("significant", "ratio").unionByName(by("not significant", "share"))
+    if by == "ratio":
+        marks = repeated_lines(rows, least_records, least_share, **how).where("repeated and significant")
+    elif by == "rule" and not how:
+        counts, sizes = _counts(rows)
+        marks = counts.where(F.col("records") >= least_records).join(sizes, "source").where(F.col("records") / F.col("size") >= least_share)
+    else:
+        raise ValueError(f"by {by!r} with {how}")
+    return marks.select("source", "h1", "h2")
+
+
+def branches(rows: DataFrame, **how) -> DataFrame:
+    """(branch, lines, sources): how many of the rule's lines are in excess over other sources ("ratio"), and how many only repeated ("share")."""
+    marks = repeated_lines(rows, **how).where("repeated").withColumn("branch", F.when(F.col("significant"), "ratio").otherwise("share"))
+    return marks.groupBy("branch").agg(F.count("*").alias("lines"), F.count_distinct("source").alias("sources"))
 
 
 def found_lines(rows: DataFrame, **how) -> DataFrame:
-    """(id, line_no, branch): every excess line of every record, lines numbered from 1."""
-    marks = excess_lines(rows, **how)
+    """(id, line_no): every line of every record that ``excess_lines`` marks, lines numbered from 1."""
+    marks = durable(excess_lines(rows, **how))
     rows = rows.toDF("id", "text", "source").where("source is not null and text is not null")
     each = rows.select("id", "source", F.posexplode(_lines(F.col("text"))).alias("pos", "h")).where("h is not null")
     each = each.select("id", "source", (F.col("pos") + 1).cast("int").alias("line_no"), "h.h1", "h.h2")
-    return each.join(marks, ["source", "h1", "h2"]).select("id", "line_no", "branch")
+    return each.join(marks, ["source", "h1", "h2"], "left_semi").select("id", "line_no")
 
 
 def without_lines(rows: DataFrame, **how) -> DataFrame:
@@ -115,7 +132,7 @@ def without_lines(rows: DataFrame, **how) -> DataFrame:
     stay where they are.  Null texts stay null; a record of which every line goes becomes empty.
     """
     rows = rows.toDF("id", "text", "source").select("id", "text", "source")
-    found = durable(found_lines(rows, **how).select("id", "line_no"))
+    found = durable(found_lines(rows, **how))
     gone = found.groupBy("id").agg(F.count("*").cast("int").alias("removed"))
     each = rows.join(gone, "id", "left_semi").select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     kept = each.withColumn("line_no", F.col("pos") + 1).join(found, ["id", "line_no"], "left_anti")

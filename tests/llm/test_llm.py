@@ -285,6 +285,28 @@ def test_lines(spark):
     assert any(r.source == "a" and r.outside == 0 for r in stats) and lines.found_lines(rows.limit(0)).count() == 0
 
 
+def test_ratio_decides_or_does_not_run(spark, monkeypatch):
+    """By ratio, lines as frequent in other sources stay; by the rule they go, and no ratio is computed."""
+    docs = [(i, f"Umum, sekali\nisi {chr(97 + i // 26)}{chr(97 + i % 26)}" + ("\nBaca juga: situs a" if i % 2 else ""), "ab"[i % 2]) for i in range(120)]
+    rows = spark.createDataFrame(docs, "id long, text string, source string")
+    found = lambda rows, **how: {(r.id, r.line_no) for r in lines.found_lines(rows, **how).collect()}
+    own, common = {(i, 3) for i, _, s in docs if s == "b"}, {(i, 1) for i, _, _ in docs}
+    assert found(rows, by="ratio") == own and found(rows, by="ratio", rate=0.0) == set()
+    assert {r.id: (r.text, r.removed) for r in lines.without_lines(rows, by="ratio").collect()} == {i: ("\n".join(t.split("\n")[:2]), i % 2) for i, t, _ in docs}
+    assert found(rows.where("source = 'b'"), by="ratio") == set()
+    assert {tuple(r) for r in lines.branches(rows).collect()} == {("ratio", 1, 1), ("share", 2, 2)}
+    with pytest.raises(ValueError):
+        lines.found_lines(rows, rate=0.5)
+
+    def no_ratio(*_):
+        raise AssertionError("the ratio was computed")
+
+    monkeypatch.setattr(lines, "line_statistics", no_ratio)
+    monkeypatch.setattr(lines, "significant_ratio", no_ratio)
+    assert found(rows) == own | common
+    assert {r.id: (r.text, r.removed) for r in lines.without_lines(rows).collect()} == {i: (t.split("\n")[1], 1 + i % 2) for i, t, _ in docs}
+
+
 def test_packing(spark):
     rng = np.random.default_rng(3)
     for capacity in (10, 512, 1000):
