@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +95,78 @@ def cosine_pairs(vectors: DataFrame, least: float = 0.1) -> DataFrame:
     return dots.where(F.col("similarity") >= least)
 
 
+def _pairs(sentences: list[list[str]], least: float, max_features: int) -> Iterator[tuple[int, int, float]]:
+    """(i, j, similarity) of the sentences of one document, given as words: as ``cosine_pairs`` over ``tfidf`` with max_df 1."""
+    counts = [Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for w in sentences]
+    df: Counter = Counter()
+    for c in counts:
+        df.update(c.keys())
+    if len(df) > max_features:
+        cf: Counter = Counter()
+        for c in counts:
+            cf.update(c)
+        df = Counter({t: df[t] for t in sorted(df, key=lambda t: (-cf[t], t))[:max_features]})
+    idf = {n: math.log((1 + len(counts)) / (1 + n)) + 1 for n in set(df.values())}
+    behind: dict[str, list[tuple[int, float]]] = defaultdict(list)  # from the last sentence to the first
+    for i in range(len(counts) - 1, -1, -1):
+        square, met = 0.0, []
+        for t, n in counts[i].items():
+            if k := df.get(t):
+                x = n * idf[k]
+                square += x * x
+                if k > 1:  # a term of one sentence meets no other
+                    met.append((t, x))
+        norm = math.sqrt(square)
+        dots: dict[int, float] = defaultdict(float)
+        for t, x in met:
+            x /= norm
+            for j, y in (others := behind[t]):
+                dots[j] += x * y
+            others.append((i, x))
+        yield from ((i, j, dot) for j, dot in dots.items() if dot >= least)
+
+
+def sentence_pairs(docs: DataFrame, stopwords: list[str] = X.STOPWORDS_RANKER, least: float = 0.1, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(coll, i, j, similarity), i < j: the sentences of each (coll, sentences ARRAY) that are alike, each row a collection of its own.
+
+    The same pairs as ``cosine_pairs`` of ``tfidf`` over the sentences, but a document is whole in its row, so its terms
+    stay in its task and nothing is shuffled.  Only rows that share their coll with others, which then are one
+    collection, go through the joins; a null coll has no pairs.
+    """
+    docs = docs.toDF("coll", "sentences")
+    many = durable(docs.groupBy("coll").agg(F.count("*").alias("n")).where("n > 1").select("coll"))
+    own = docs.where("coll is not null")
+    shared = None
+    if not many.isEmpty():
+        parts = own.join(many, "coll", "left_semi").select("coll", F.posexplode("sentences").alias("doc", "text"))
+        shared = cosine_pairs(tfidf(parts, stopwords, 1.0, max_features), least)
+        own = own.join(many, "coll", "left_anti")
+    # a line a sentence: words hold no white space, and one string a document is cheap to hand over
+    words = own.select("coll", F.array_join(F.transform("sentences", lambda t: F.array_join(tokens(t, stopwords), " ")), "\n").alias("w"))
+    names = ["coll", "i", "j", "similarity"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+
+            def out() -> pa.RecordBatch:
+                i, j, s = zip(*rows)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(s, pa.float64())], names)
+
+            for k in range(batch.num_rows):
+                for pair in _pairs([line.split() for line in (batch.column(1)[k].as_py() or "").split("\n")], least, max_features):
+                    at.append(k)
+                    rows.append(pair)
+                    if len(rows) == 50_000:
+                        yield out()
+                        at, rows = [], []
+            if rows:
+                yield out()
+
+    found = words.mapInArrow(run, f"coll {docs.schema['coll'].dataType.simpleString()}, i int, j int, similarity double")
+    return found if shared is None else found.unionByName(shared)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers, null if one has length 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -784,8 +784,7 @@ def credible_summaries(spark, d):
 @query()
 def sentence_similarity(spark, d):
     """Sentences of one document that are alike: each document is a collection."""
-    s = documents(spark, d).select(F.col("doc").alias("coll"), F.posexplode(X.preprocess_document(F.col("text"))).alias("doc", "text"))
-    return vector.cosine_pairs(vector.tfidf(s, X.STOPWORDS_RANKER, max_df=1.0))
+    return vector.sentence_pairs(documents(spark, d).select(F.col("doc").alias("coll"), X.preprocess_document(F.col("text")).alias("sentences")))
 
 
 @query("SELECT l_partkey AS doc, avg(l_quantity)::FLOAT::DOUBLE AS first, avg(l_discount)::FLOAT::DOUBLE AS second FROM lineitem GROUP BY l_partkey")

@@ -377,3 +377,18 @@ def test_narratives_hold_all_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string, published_at timestamp, url string").write.parquet(f"{tmp_path}/documents.parquet")
     said = str(registry.QUERIES["narratives"](spark, str(tmp_path)).collect())
     assert all(f"isi berita nomor {i}" in said for i in (1, 2, 3))
+
+
+def test_sentence_pairs(spark):
+    """The pairs of the joins, for rows of their own and rows that share a document; nothing is shuffled but the ids."""
+    rng = random.Random(8)
+    words = ["vaksin", "kota", "yang", "Baru", "a", "naïve", "9x", "uji_coba", "dan", "rina", "pasar"]
+    say = lambda: [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) + "." for _ in range(rng.randrange(0, 12))]
+    rows = [(i, say()) for i in range(40)] + [(3, say()), (None, ["vaksin kota", "vaksin kota"]), (50, None), (51, [None, "kota", "kota"])]
+    docs = spark.createDataFrame(rows, "coll long, sentences array<string>")
+    apart = docs.select("coll", F.posexplode("sentences").alias("doc", "text"))
+    for most in (5000, 6):
+        want = {(r.coll, r.i, r.j): r.similarity for r in vector.cosine_pairs(vector.tfidf(apart, X.STOPWORDS_RANKER, 1.0, most)).collect()}
+        got = {(r.coll, r.i, r.j): r.similarity for r in vector.sentence_pairs(docs, max_features=most).collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items()} and (51, 1, 2) in got and len(got) > 100
+    assert "Exchange" not in vector.sentence_pairs(docs.where("coll > 3"))._jdf.queryExecution().executedPlan().toString()
