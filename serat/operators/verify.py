@@ -25,53 +25,152 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 #: Names of one side that a task compares with as many of the other.
-CELL = 2_000
-#: Classes of characters for the bound: letters and digits of their own, the others by their code.
+CELL = 50_000
+#: Classes of characters for the bounds: letters and digits of their own, the others by their code.
 CLASSES = 48
+#: Characters of a name that the bounds look at one by one; those behind them count as shared.
+SEEN = 256
+#: Wanted names of one batch.
+BATCH = 256
+#: One name in so many is compared first, where only the best pairs count: what they reach is the least for all others.
+FIRST = 16
+
+
+def _codes(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each character + 1 by name and place, 0 behind the end; length of each name)."""
+    length = np.array([len(n) for n in names], np.int64)
+    seen = np.minimum(length, SEEN)
+    k = np.frombuffer("".join(n[:SEEN] for n in names).encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = np.where((k >= 97) & (k < 123), k - 97, np.where((k >= 48) & (k < 58), k - 22, 36 + k % 12)) + 1
+    out = np.zeros((len(names), int(seen.max(initial=0))), np.uint8)
+    out[np.arange(out.shape[1]) < seen[:, None]] = k
+    return out, length
+
+
+def _items(codes: np.ndarray) -> np.ndarray:
+    """Each character as its class and how often the class stood before it in the name, as one number; -1 behind the end."""
+    seen = np.zeros((len(codes), CLASSES + 1), np.int32)
+    out = np.full(codes.shape, -1, np.int32)
+    at = np.arange(len(codes))
+    for j in range(codes.shape[1]):
+        c = codes[:, j]
+        out[:, j] = np.where(c > 0, seen[at, c] * CLASSES + c - 1, -1)
+        seen[at, c] += 1
+    return out
 
 
-def _histograms(names: list[str]) -> np.ndarray:
-    """How often each class of characters stands in each name, up to 255."""
-    out = np.zeros((len(names), CLASSES), np.int64)
-    for i, n in enumerate(names):
-        for c in n:
-            k = ord(c)
-            out[i, k - 97 if 97 <= k < 123 else k - 22 if 48 <= k < 58 else 36 + k % 12] += 1
+def _bits(items: np.ndarray, bit: np.ndarray, words: int, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a set of bits for each name, by word and name; the number of its characters without a bit)."""
+    out, n = np.zeros((words, len(items)), np.uint64), np.zeros(len(items), np.int64)
+    for j in range(items.shape[1]):
+        b = np.where(items[:, j] >= 0, bit[items[:, j]], -1)
+        n += b >= 0
+        for k in range(words):
+            own = (b >= 64 * k) & (b < 64 * k + 64)
+            out[k] |= np.where(own, np.uint64(1) << np.where(own, b - 64 * k, 0).astype(np.uint64), np.uint64(0))
+    return out, length - n
+
+
+def _common(masks: np.ndarray, i: np.ndarray, codes: np.ndarray, j: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of each pair of wanted name i, of at most 64 characters, and name j, by the bits of the wanted."""
+    order = np.argsort(-length[j], kind="stable")
+    i, j, n = i[order] * (CLASSES + 1), j[order], np.minimum(length[j[order]], SEEN)
+    v, flat = np.full(len(i), ~np.uint64(0)), masks.ravel()
+    for k in range(int(n[0]) if len(n) else 0):
+        m = int(np.searchsorted(-n, -k))  # those that have a character there
+        u = v[:m] & flat[i[:m] + codes[j[:m], k]]
+        v[:m] = (v[:m] + u) | (v[:m] - u)
+    out = np.empty(len(i), np.int64)
+    out[order] = np.bitwise_count(~v) + np.maximum(length[j] - SEEN, 0)
     return out
 
 
-def _compared(wanted: list[str], names: list[str], least: float, best: bool) -> Iterator[tuple[int, int, float]]:
-    """(place of wanted, place of name, ratio) from ``least`` on, or of each wanted only the best.
+def _compared(wanted: list[str], least: np.ndarray, names: list[str], best: bool) -> Iterator[tuple[int, int, float]]:
+    """(place of wanted, place of name, ratio) from the ``least`` of each wanted name on, or of each only the best.
 
-    The letters that two names share bound their ratio from above.  Whole blocks are bounded at once, and a pair is
-    compared only if its bound passes, for the best in order of the bound, until it falls below what is found.
+    The ratio is bounded from above twice, first by the characters that two names share, which are one set of bits a
+    name, so that a pair costs a few nanoseconds; then, where that passes, by their longest common subsequence.  A pair
+    is compared only if both pass, for the best in order of the bound, until it falls below what is found.
     """
-    hw, hn = _histograms(wanted), _histograms(names)
-    lw, ln = hw.sum(1), hn.sum(1)
-    hw, hn = np.minimum(hw, 255).astype(np.uint8), np.minimum(hn, 255).astype(np.uint8)
+    codes, length = _codes(names)
+    order = np.argsort(length, kind="stable")
+    codes, length = codes[order], length[order]
+    items = _items(codes)
+    # the most frequent characters get a bit; as many words as leave half a character a name without one
+    often = np.sort(np.bincount(items[items >= 0], minlength=1))[::-1]
+    words = next((k for k in (1, 2) if often[64 * k :].sum() <= len(names) / 2), 3)
+    ranked = np.argsort(-np.bincount(items[items >= 0], minlength=1), kind="stable")[: 64 * words]
+    bit = np.full(CLASSES * (SEEN + 1), -1, np.int64)
+    bit[ranked] = np.arange(len(ranked))
+    bits, _ = _bits(items, bit, words, length)
+    sizes, starts = np.unique(length, return_index=True)
+    ends = np.append(starts[1:], len(length))
     matcher = SequenceMatcher(None)
-    for i, w in enumerate(wanted):
-        shared = np.minimum(hw[i], hn).sum(1, dtype=np.int64)
-        # a class that fills its byte is as good as shared in full
-        bound = np.where((hw[i] == 255).any() | (hn == 255).any(1), 1.0, 2 * shared / np.maximum(lw[i] + ln, 1))
-        at = np.flatnonzero(bound >= least - 1e-9)
-        if best:
-            at = at[np.argsort(-bound[at], kind="stable")]
-        top = least
-        found: list[tuple[int, float]] = []
-        matcher.set_seq1(w)
-        for j in at:
-            if best and bound[j] < top - 1e-9:
-                break
-            matcher.set_seq2(names[j])
-            r = matcher.ratio() if w != names[j] else 1.0
-            if r >= top:
-                if best and r > top:
-                    found = []
-                found.append((j, r))
-                top = r if best else top
-        for j, r in found:
-            yield i, int(j), r
+    by_length = sorted(range(len(wanted)), key=lambda i: (len(wanted[i]), least[i]))
+    for batch in (by_length[k : k + BATCH] for k in range(0, len(by_length), BATCH)):
+        texts = [wanted[i] for i in batch]
+        own, size = _codes(texts)
+        sets, rest = _bits(_items(own), bit, words, size)
+        masks = np.zeros((len(batch), CLASSES + 1), np.uint64)
+        for k in range(min(own.shape[1], 64)):
+            masks[np.arange(len(batch)), own[:, k]] |= np.uint64(1 << k)
+        masks[:, 0] = 0
+        near: list[np.ndarray] = []
+        last, lo, hi, need = None, 0, 0, None
+        for x, i in enumerate(batch):
+            if last != (size[x], least[i], rest[x]):
+                last = (size[x], least[i], rest[x])
+                fit = np.flatnonzero(2 * np.minimum(sizes, size[x]) >= (least[i] - 1e-9) * (sizes + size[x]))
+                shared = np.ceil((least[i] - 1e-9) * (sizes[fit] + size[x]) / 2) - rest[x]
+                need = np.repeat(np.clip(shared, 0, 255).astype(np.uint8), (ends - starts)[fit])
+                lo, hi = (starts[fit[0]], ends[fit[-1]]) if len(fit) else (0, 0)
+            n = np.bitwise_count(bits[0, lo:hi] & sets[0, x])
+            for k in range(1, words):
+                n += np.bitwise_count(bits[k, lo:hi] & sets[k, x])
+            near.append(np.flatnonzero(n >= need) + lo)
+        i = np.repeat(np.arange(len(batch)), [len(n) for n in near])
+        j = np.concatenate(near)
+        bound = np.ones(len(i))
+        if len(short := np.flatnonzero(size[i] <= 64)):
+            bound[short] = 2 * _common(masks, i[short], codes, j[short], length) / (size[i[short]] + length[j[short]])
+        least_of = least[np.array(batch)][i]
+        kept = np.flatnonzero(bound >= least_of - 1e-9)
+        kept = kept[np.lexsort((-bound[kept], i[kept]))]
+        top: dict[int, float] = {}
+        found: dict[int, list[tuple[int, float]]] = {}
+        for x, y, most in zip(i[kept].tolist(), j[kept].tolist(), bound[kept].tolist()):
+            t = top.get(x, least[batch[x]])
+            if best and most < t - 1e-9:
+                continue
+            w, name = texts[x], names[order[y]]
+            matcher.set_seqs(w, name)
+            r = matcher.ratio() if w != name else 1.0
+            if r >= t:
+                if best and r > t:
+                    found[x] = []
+                found.setdefault(x, []).append((int(order[y]), r))
+                top[x] = r if best else t
+        for x, pairs in found.items():
+            for y, r in pairs:
+                yield batch[x], y, r
+
+
+def _cells(w: DataFrame, n: DataFrame, parts: list[int], best: bool) -> DataFrame:
+    """(space, want, name, ratio) of (space, want, least) and (space, name), in cells by the hashes of both."""
+    own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    w = w.select("space", "want", "least", own("want", parts[0]).alias("i"), every(parts[1]).alias("j"))
+    n = n.select("space", "name", every(parts[0]).alias("i"), own("name", parts[1]).alias("j"))
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, y = a.sort_values("want"), sorted(b["name"])
+        x = a["want"].tolist()
+        pairs = _compared(x, a["least"].to_numpy(), y, best) if x and y else ()
+        return pd.DataFrame([(key[0], x[i], y[j], r) for i, j, r in pairs], columns=["space", "want", "name", "ratio"])
+
+    cells = max(int(w.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(parts[0] * parts[1], 10_000))
+    w, n = (d.repartition(cells, "space", "i", "j") for d in (w, n))
+    return w.groupBy("space", "i", "j").cogroup(n.groupBy("space", "i", "j")).applyInPandas(run, "space string, want string, name string, ratio double")
 
 
 def similar_names(wanted: DataFrame, names: DataFrame, least: float = 0.7, best: bool = False) -> DataFrame:
@@ -81,26 +180,19 @@ def similar_names(wanted: DataFrame, names: DataFrame, least: float = 0.7, best:
     wanted name in its cell come out, of which the caller takes the best of all.  The ratio has no selective key: two
     similar names need not have three letters in a row in common.  So distinct names are divided into cells of about
     CELL by CELL names, by their hash, and each cell is bounded in blocks; no pair is a row before it has been compared.
-    Empty and null names match nothing.
+    For the best of many names, one name in FIRST is compared before: its ratio is a least for all, so no cell begins
+    from nothing.  Empty and null names match nothing.
     """
-    spark = wanted.sparkSession
     both = lambda d: d if len(d.columns) == 2 else d.select(F.lit("").alias("space"), *d.columns)
     low = lambda d, c: both(d).toDF("space", "x").where("x <> ''").select(F.coalesce("space", F.lit("")).alias("space"), F.lower("x").alias(c)).distinct()
-    w, n = durable(low(wanted, "want")), durable(low(names, "name"))
-    parts = [max(1, -(-d.count() // CELL)) for d in (w, n)]
-    own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    w = w.select("space", "want", own("want", parts[0]).alias("i"), every(parts[1]).alias("j"))
-    n = n.select("space", "name", every(parts[0]).alias("i"), own("name", parts[1]).alias("j"))
-
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = sorted(a["want"]), sorted(b["name"])
-        rows = [(key[0], x[i], y[j], r) for i, j, r in _compared(x, y, least, best)]
-        return pd.DataFrame(rows, columns=["space", "want", "name", "ratio"])
-
-    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(parts[0] * parts[1], 10_000))
-    w, n = (d.repartition(cells, "space", "i", "j") for d in (w, n))
-    return w.groupBy("space", "i", "j").cogroup(n.groupBy("space", "i", "j")).applyInPandas(run, "space string, want string, name string, ratio double")
+    w, n = durable(low(wanted, "want").withColumn("least", F.lit(float(least)))), durable(low(names, "name"))
+    rows = [w.count(), n.count()]
+    parts = [max(1, -(-k // CELL)) for k in rows]
+    if best and parts[1] > 1:
+        some = n.where(F.pmod(F.xxhash64("name", F.lit(FIRST)), F.lit(FIRST)) == 0)
+        first = _cells(w, some, [parts[0], max(1, -(-rows[1] // (FIRST * CELL)))], best).groupBy("space", "want").agg(F.max("ratio").alias("reached"))
+        w = durable(w.join(first, ["space", "want"], "left").select("space", "want", F.greatest("least", "reached").alias("least")))
+    return _cells(w, n, parts, best)
 
 
 def match_entities(claim_entities: DataFrame, nodes: DataFrame, least: float = 0.7) -> DataFrame:

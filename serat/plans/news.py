@@ -579,7 +579,9 @@ def _claim_parts(spark, d):
 @query()
 def entity_matches(spark, d):
     _, claimed = _claim_parts(spark, d)
-    nodes = durable(G.build_nodes(G.node_inputs(*_graph(spark, d))))
+    # names and aliases only, so neither times nor the lists of documents are made
+    found = G.build_nodes(G.node_inputs(*relations.extract_both(documents(spark, d), "intended")))
+    nodes = durable(found.select("key", "normalized", "entity_type", "aliases"))
     return V.match_entities(claimed.select("coll", "doc", "pos", "key", "normalized", "entity_type"), nodes)
 
 

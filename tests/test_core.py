@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -392,3 +393,43 @@ def test_sentence_pairs(spark):
         got = {(r.coll, r.i, r.j): r.similarity for r in vector.sentence_pairs(docs, max_features=most).collect()}
         assert got == {k: pytest.approx(v) for k, v in want.items()} and (51, 1, 2) in got and len(got) > 100
     assert "Exchange" not in vector.sentence_pairs(docs.where("coll > 3"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_names_compares_few(spark, monkeypatch):
+    """The best of many names, as by brute force, with few comparisons character by character."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(9)
+    name = lambda: " ".join("".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(2))
+    names, want = sorted({name() for _ in range(3000)}), sorted({name() for _ in range(20)} | {"x" * 70, "é" + "a" * 300})
+    best = {w: max(SequenceMatcher(None, w, n).ratio() for n in names) for w in want}
+    calls = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            calls.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(V, "SequenceMatcher", Counted)
+    got = {}
+    for i, _, r in V._compared(want, np.full(len(want), 0.7), names, True):
+        got[want[i]] = max(got.get(want[i], 0), r)
+    assert got == {w: r for w, r in best.items() if r >= 0.7} and got
+    assert len(calls) < 30 * len(want)  # of 3000 each
+
+
+def test_extract_both(spark, monkeypatch):
+    """Entities, relations and times of the separate passes, with each text searched for entities once."""
+    texts = ["Pak Budi Santoso dari KPK bertemu Menteri Rina Wati pada 3 Mei 2020. Bank Nerin Jaya di Bandung Kota.", None, "", 'kH Ana Lisa memimpin PT Sumber pada tahun 2021. "Benar," kata Ana Lisa.', "Ibu  Rina Wati kemarin."]
+    docs = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)], "coll string, doc long, text string")
+    ref = datetime(2024, 1, 17)
+    mentions, rel = R.extract_both(docs, "intended", ref)
+    old = E.nearest_temporal(E.extract_entities(docs, "intended"), temporal.extract_temporals(docs, ref))
+    last = E.entity_temporals(old).withColumnRenamed("temporal", "t")
+    old = old.join(last, ["coll", "doc", "key"], "left").select("coll", "doc", "pos", "key", "confidence", "t.normalized_start", "t.normalized_end")
+    assert sorted(mentions.select("coll", "doc", "pos", "key", "confidence", "temporal.*").collect(), key=str) == sorted(old.collect(), key=str)
+    assert sorted(rel.collect(), key=str) == sorted(R.extract_relations(docs, "intended").collect(), key=str)
+    for language in ("id", "en"):
+        person = E._compiled(language, "intended")[2]
+        for t in [*texts, "drs. H Budi Ana", "xIbu Ana Lisa Pak\n Budi Ana", "bApak Ana Rina kh  Ana Budi"]:
+            assert [m.span() for m in E.people(t or "", person, language)] == [m.span() for m in person.finditer(t or "")]
