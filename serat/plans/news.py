@@ -372,11 +372,14 @@ def document_relations(spark, d):
 
 def _graph(spark, d):
     docs = documents(spark, d)
-    mentions = durable(E.nearest_temporal(E.extract_entities(docs, "intended"), _temporals(spark, d)))
+    if docs.groupBy("coll", "doc").agg(F.count("*").alias("n")).where("n > 1 or doc is null").isEmpty():
+        return relations.extract_both(docs, "intended", REFERENCE)
+    # rows of one id are one document, whose entities and times meet by joins
+    found, rel = relations.extract_both(docs, "intended")
+    mentions = durable(E.nearest_temporal(found.drop("temporal"), _temporals(spark, d)))
     # an entity's temporal in a document is that of its last mention with one, for all its mentions
     own = E.entity_temporals(mentions).withColumnRenamed("temporal", "last")
     mentions = mentions.drop("temporal").join(own, ["coll", "doc", "key"], "left").withColumnRenamed("last", "temporal")
-    rel = durable(relations.extract_relations(docs, "intended"))
     return mentions, rel
 
 
@@ -589,7 +592,8 @@ def entity_matches(spark, d):
 def claim_verification(spark, d):
     news, claimed = _claim_parts(spark, d)
     mentions, rel = _graph(spark, d)
-    nodes, edges = durable(G.build_nodes(G.node_inputs(mentions, rel))), durable(G.build_edges(G.relation_log(rel)))
+    nodes = durable(G.build_nodes(G.node_inputs(mentions, rel)).select("key", "normalized", "entity_type", "aliases", "temporal_start", "temporal_end"))
+    edges = durable(G.build_edges(G.relation_log(rel)).select("source", "target", "relation_type", "confidence"))
     matched = durable(V.match_entities(claimed.select("coll", "doc", "pos", "key", "normalized", "entity_type"), nodes))
     said = G.relation_log(relations.extract_relations(news, "intended"))
     at = matched.where("node_key is not null").select("coll", "doc", "key", "node_key").distinct()
